@@ -58,8 +58,9 @@ def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES):
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows: texts may be long, and a worker holds a batch at a time."""
+    """Arrow batches of bounded rows and bytes: texts may be long, and a worker holds a batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{2 * BATCH_BYTES}b")
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

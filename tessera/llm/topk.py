@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, table
+from tessera.llm.common import bound_batches, partitions, table
 
 #: Vectors of a block of queries and of a shard of candidates. A tile is one product of these.
 BLOCK, SHARD = 512, 2048
@@ -102,7 +102,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
     """
     spark = queries.sparkSession
     lanes = max(8, partitions(spark))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    bound_batches(spark)
     shards = _packed(candidates, SHARD).select("dim", F.col("ids").alias("cids"), F.col("data").alias("cdata"), F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"))
     blocks = _packed(queries.dropDuplicates(["id"]).repartition(max(1, lanes // 4)), BLOCK).select("dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     tiles = blocks.join(shards, ["lane", "dim"]).select("lane", "dim", "qids", "qdata", "cids", "cdata")
@@ -116,7 +116,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP) -> DataFrame:
                 found = _tile(qid, q.reshape(-1, dim), cid, c.reshape(-1, dim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), lane, np.int32)), *(pa.array(x) for x in found)], ["lane", "query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     part = tiles.mapInArrow(run, "lane int, query_id long, vec_id long, score long")
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("c")))), 1, k)
     for group in (("query_id", "lane"), ("query_id", "fork"), ("query_id",)):
