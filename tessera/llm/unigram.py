@@ -22,7 +22,7 @@ UNKNOWN_PENALTY = 10.0
 #: Characters between two looks for a boundary where all paths meet.
 LOOK = 64
 #: Segments that a worker keeps; beyond it the cache starts anew.
-CACHE = 500_000
+CACHE = 1_000_000
 _loaded: dict[str, "Unigram"] = {}
 
 
@@ -48,12 +48,19 @@ class Unigram:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         self.unknown_score = min(s for s, _ in self.ids.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for p, value in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = value
         known = set("".join(self.ids))
+        self.singles = {p for p in self.ids if len(p) == 1}
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        alone = "".join(re.escape(c) for c in "\n\r\t\x0b\x0c" if c not in known)
         # no piece goes over the start of a run of spaces or a character that is in none
-        self.segment = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|[{alone}]" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.S)
+        alone = "".join(re.escape(c) for c in "\n\r\t\x0b\x0c" if c not in known)
+        stop = SPACE + alone
+        self.segment = re.compile("|".join(x for x in (f"{SPACE}+[^{stop}]*", f"[^{stop}]+", f"[{alone}]" if alone else "") if x), re.S)
         self.known: dict[str, int] = {}
         self.pool, self.starts = array("I"), array("q", [0])
         self.counted: dict[str, int] = {}
@@ -79,7 +86,7 @@ class Unigram:
         """
         n, base = len(text), 0
         scores, back, ids = [0.0], [0], [-1]
-        none = float("-inf")
+        none, trie = float("-inf"), self.trie
         for i in range(n):
             here = scores[i - base]
             top = min(n, i + self.longest)
@@ -89,15 +96,20 @@ class Unigram:
                 scores += [none] * grow
                 back += [0] * grow
                 ids += [-1] * grow
-            for end in range(i + 1, top + 1):
-                piece = text[i:end]
-                if piece not in self.prefixes:
+            node, end = trie, i
+            while end < top:
+                node = node.get(text[end])
+                if node is None:
                     break
-                found = self.ids.get(piece)
+                end += 1
+                found = node.get("")
                 if found:
-                    single |= end == i + 1
-                    if here + found[0] > scores[end - base]:
-                        scores[end - base], back[end - base], ids[end - base] = here + found[0], i, found[1]
+                    if end == i + 1:
+                        single = True
+                    at = end - base
+                    total = here + found[0]
+                    if total > scores[at]:
+                        scores[at], back[at], ids[at] = total, i, found[1]
             if not single and here + self.unknown_score > scores[i + 1 - base]:
                 scores[i + 1 - base], back[i + 1 - base], ids[i + 1 - base] = here + self.unknown_score, i, self.unknown
             if (i + 1 - base) % LOOK == 0 and i + 1 < n:
@@ -174,12 +186,19 @@ class Unigram:
         n = len(s)
         none = float("-inf")
         score, count = [0.0] + [none] * n, [0] * (n + 1)
+        if self.singles.issuperset(s):
+            # matches at an end come longest first, so a strict comparison keeps the earliest start
+            for end, (length, own) in self.automaton.iter(s):
+                start = end + 1 - length
+                total = score[start] + own
+                if total > score[end + 1]:
+                    score[end + 1], count[end + 1] = total, count[start] + 1
+            return count[n]
         single = bytearray(n + 1)
         found = self.automaton.iter(s)
         match = next(found, None)
         for end in range(1, n + 1):
             best, pieces = none, 0
-            # matches at an end come longest first, so a strict comparison keeps the earliest start
             while match is not None and match[0] + 1 == end:
                 length, own = match[1]
                 single[end] |= length == 1
