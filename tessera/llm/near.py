@@ -96,10 +96,10 @@ def full_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Inverted lists (v, key, n, central): of each sketch the rarest values, so many that linked sets meet in one.
+    """Inverted lists (v, key, n, central, p): of each sketch the rarest values, so many that linked sets meet in one.
 
     Values that one set alone holds come first in the order and take places, but make no lists. A set
-    whose retained values are frequent altogether is central.
+    whose retained values are frequent altogether is central. p has all lists of the set, in that order.
     """
     bounds = F.array(*[F.lit(needed(n, k, percent)) for n in range(k + 1)])
     entries = sets.select("key", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
@@ -107,13 +107,19 @@ def prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
     found = entries.join(shared, "v").groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("c", "v"))).alias("found"))
     take = F.col("s") - F.element_at(bounds, F.col("s") + 1) + 1 - (F.col("s") - F.size("found"))
     central = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["c"])
-    return found.filter(take > 0).select("key", "n", central.alias("central"), F.explode(F.slice("found", 1, take)).alias("e")).select("e.v", "key", "n", "central")
+    prefix = F.transform(F.slice("found", 1, take), lambda x: x["v"])
+    return found.filter(take > 0).select("key", "n", central.alias("central"), prefix.alias("p")).select(F.explode("p").alias("v"), "key", "n", "central", "p")
 
 
 def _fits(percent: int, a: str, b: str):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def _first_common():
+    """Whether v is the first list that both sets are in, so that a pair comes up in one list only."""
+    return F.element_at(F.array_intersect("p", "p2"), 1) == F.col("v")
+
+
 def estimated(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch, the k smallest values of both, has enough values that both hold."""
     side = sets.select("key", "sketch")
@@ -149,8 +155,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) ->
     lists = prefixes(sets, k, percent)
     lists = materialize(lists.join(lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "v"), "lists")
     short, long = lists.filter(F.col("m") <= SHORT_LIST), lists.filter(F.col("m") > SHORT_LIST)
-    other = short.select("v", F.col("key").alias("b"), F.col("n").alias("n2"))
-    pairs = short.select("v", F.col("key").alias("a"), "n").join(other, "v").filter("a < b").filter(_fits(percent, "n", "n2")).select("a", "b").distinct()
+    other = short.select("v", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    pairs = short.select("v", F.col("key").alias("a"), "n", "p").join(other, "v").filter("a < b").filter(_fits(percent, "n", "n2")).filter(_first_common()).select("a", "b")
 
     def compared(pairs: DataFrame) -> DataFrame:
         chosen = materialize(estimated(pairs, sets, k, percent), "pairs")
@@ -168,7 +174,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) ->
     done = compared(pairs.union(to_pivots(long)).distinct())
     for k_round in range(PIVOT_ROUNDS):
         roots = components(done)
-        rooted = long.select("v", "key", "n", "central").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = long.select("v", "key", "n", "central", "p").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         many = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
         open_lists = materialize(rooted.join(many, "v", "left_semi"), "open")
         if open_lists.isEmpty():
@@ -178,8 +184,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) ->
             rest = open_lists.join(firsts, "v").filter(F.col("root") != F.col("first")).select("v", "key", "n", "central")
             more = to_pivots(rest)
         else:
-            there = open_lists.select("v", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            more = open_lists.join(there, "v").filter("key < b and root <> root2").filter(_fits(percent, "n", "n2")).select(F.col("key").alias("a"), "b").distinct()
+            there = open_lists.select("v", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("p").alias("p2"))
+            more = open_lists.join(there, "v").filter("key < b and root <> root2").filter(_fits(percent, "n", "n2")).filter(_first_common()).select(F.col("key").alias("a"), "b")
         done = materialize(done.union(compared(more)).distinct(), "done")
     return done
 
