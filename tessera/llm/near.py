@@ -107,7 +107,7 @@ def prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
     found = entries.join(shared, "v").groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("c", "v"))).alias("found"))
     take = F.col("s") - F.element_at(bounds, F.col("s") + 1) + 1 - (F.col("s") - F.size("found"))
     central = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["c"])
-    prefix = F.transform(F.slice("found", 1, take), lambda x: x["v"])
+    prefix = F.transform(F.slice("found", 1, F.greatest(take, F.lit(0))), lambda x: x["v"])
     return found.filter(take > 0).select("key", "n", central.alias("central"), prefix.alias("p")).select(F.explode("p").alias("v"), "key", "n", "central", "p")
 
 
