@@ -60,11 +60,15 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return value.view(np.int64), first, last, again
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, over the end to the start, as ordered numbers."""
+    return np.ndarray(len(data), dtype=">u8", buffer=np.concatenate((data, np.resize(data, 8))), strides=(1,)).astype(np.uint64)
+
+
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of data in the order of their first `depth` bytes at least, by doubling."""
+    """Rotations of data in the order of their first `depth` bytes at least, by doubling and tripling."""
     n = len(data)
-    padded = np.concatenate((data, np.resize(data, 8)))
-    rank = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    rank = eight_bytes(data)
     done = 8
     order = np.argsort(rank)
     while True:
@@ -74,9 +78,14 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         top = int(rank[order[-1]])
         if done >= depth or top == n - 1:
             return order
-        rank = rank * (top + 1) + np.roll(rank, -done)
+        wide = top + 1
+        if wide < 1 << 20 and 2 * done < depth:  # three ranks fit one key
+            rank = (rank * wide + np.roll(rank, -done)) * wide + np.roll(rank, -2 * done)
+            done *= 3
+        else:
+            rank = rank * wide + np.roll(rank, -done)
+            done *= 2
         order = np.argsort(rank)
-        done *= 2
 
 
 def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
@@ -99,7 +108,14 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     met = np.zeros(n + 1, bool)
     met[0] = met[n] = True
     lo, hi = np.array([0]), np.array([n])
-    for _ in range(length):
+    start = 0
+    if length >= 8:  # the intervals of eight bytes are plain from the sorted keys
+        key = eight_bytes(data)[order]
+        lo = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        hi = np.concatenate((lo[1:], [n]))
+        met[lo] = True
+        start = 8
+    for _ in range(start, length):
         size = hi - lo
         ends = np.cumsum(size)
         if not len(ends):
@@ -134,7 +150,8 @@ def _array(value) -> np.ndarray:
 
 
 def text_key(column: str = "text"):
-    return F.unhex(F.sha2(F.col(column).cast("binary"), 256))
+    """Half of a text's SHA-256: 128 bits that stand for it."""
+    return F.substring(F.unhex(F.sha2(F.col(column).cast("binary"), 256)), 1, 16)
 
 
 def _runs(texts: DataFrame, length: int) -> DataFrame:
@@ -228,22 +245,37 @@ def _single(groups: DataFrame, length: int) -> DataFrame:
 
     each = map_arrow(groups.select("sid", "content", "n"), run, "sid binary, at int, string binary, n long")
     often = each.groupBy("string").agg(F.sum("n").alias("total")).filter("total > 1").select("string")
-    return each.join(often, "string").select("sid", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    found = each.join(often, "string").groupBy("sid").agg(F.array_sort(F.collect_list("at")).alias("at"))
+
+    def joined(batch: pa.RecordBatch):
+        sids, los, his = [], [], []
+        for sid, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at = np.array(at)
+            cut = np.flatnonzero(np.diff(at) > 1)
+            for lo, hi in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist()):
+                sids.append(sid)
+                los.append(lo)
+                his.append(hi)
+        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(los, pa.int32()), pa.array(his, pa.int32())], ["sid", "lo", "hi"])
+
+    return map_arrow(found, joined, "sid binary, lo int, hi int")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per distinct text with repeats: tid, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
 
-    A text is known by the SHA-256 of its bytes (tid). All bytes that a repeated string of `length` bytes
+    A text is known by half the SHA-256 of its bytes (tid). All bytes that a repeated string of `length` bytes
     covers go; strings are judged on the input. Texts that occur twice are repeats as a whole.
     """
     spark = docs.sparkSession
     bound_batches(spark, 500)
     parts = max(partitions(spark), 12)
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length).withColumn("tid", text_key())
-    runs = materialize(_runs(texts, length), "runs").dropDuplicates(["tid", "first"])
-    often = runs.groupBy("v").agg(F.count("*").alias("c"), F.max("again").alias("again")).filter("c > 1 or again").select("v")
-    wants = runs.join(often, "v", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("v", "first", "last", "again")).alias("wants"))
+    # copies of a text give equal rows, so a hash of the place tells whether a group has two places
+    runs = materialize(_runs(texts, length), "runs")
+    place = F.xxhash64("tid", "first")
+    often = runs.groupBy("v").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("again").alias("again")).filter("lo <> hi or again").select("v")
+    wants = runs.join(often, "v", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("v", "first", "last", "again")).alias("wants"))
     once = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     segments = materialize(_segments(once.join(wants, "tid"), length), "segments")
     contents = segments.groupBy("v", "sid").agg(F.first("content").alias("content"), F.count("*").alias("n"), F.max("again").alias("again"))
@@ -280,10 +312,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null texts count as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), text_key().alias("tid"))
+    rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), text_key().alias("tid"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     found = repeats(docs, length).drop("kept")
     return rows.join(found, "tid", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("tid"))).alias("kept_sha256")
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
     )
 
 
