@@ -107,8 +107,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Pro
     order = Window.partitionBy("lang", "salt").orderBy("h")
     salts = 16
     first = rows.select("lang", "h", F.pmod("h", F.lit(salts)).alias("salt")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(1, sample // salts))
+    # a few rows of a language, fewer than its profile, which comes to the driver anyway
     bound = first.groupBy("lang", "salt").agg(F.max("h").alias("most"))
-    chosen = rows.withColumn("salt", F.pmod("h", F.lit(salts))).join(bound, ["lang", "salt"]).filter("h <= most").dropDuplicates(["lang", "h"])
+    chosen = rows.withColumn("salt", F.pmod("h", F.lit(salts))).join(F.broadcast(bound), ["lang", "salt"]).filter("h <= most").dropDuplicates(["lang", "h"])
 
     def count(batch: pa.RecordBatch):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
