@@ -8,18 +8,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, map_arrow, materialize, mix64, table, words_of
+from tessera.llm.common import bound_batches, gather, map_arrow, materialize, mix64, table, words_of
 from tessera.llm.components import components
 
 #: Values kept of each set: its smallest hashes.
 SKETCH = 64
-#: Inverted lists up to this many sets are paired off; longer ones go by pivots first.
+#: Inverted lists up to this many sets are paired off; longer ones go by a pivot first, then in blocks.
 SHORT_LIST = 24
-#: Rounds of pivots for the longer lists; what then still is open is paired off.
-PIVOT_ROUNDS = 3
+#: Bytes of a block of sets, with so many for each set beside its values.
+BLOCK_BYTES, SET_BYTES = 4 << 20, 1 << 10
+#: A value in more than one of so many sets of two blocks is counted by matrix products, in slices of columns.
+DENSE, COLUMNS = 32, 2048
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -145,12 +147,107 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of x with each of y: float32, exact below 2^24.
+
+    Frequent values are counted by matrix products, the others through their inverted lists.
+    """
+    sizes = np.array([len(s) for s in x] + [len(s) for s in y])
+    values, ids, counts = np.unique(np.concatenate(x + y), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(x), len(y)), np.float32)
+    often = counts * DENSE > len(sizes)
+    column = np.cumsum(often) - 1
+    dense = often[ids]
+    for low in range(0, int(often.sum()), COLUMNS):
+        at = dense & (column[ids] >= low) & (column[ids] < low + COLUMNS)
+        cells = np.zeros((len(sizes), COLUMNS), np.float32)
+        cells[owner[at], column[ids[at]] - low] = 1
+        out += cells[: len(x)] @ cells[len(x) :].T
+    rare = ~dense & (counts[ids] > 1)
+    left, right = rare & (owner < len(x)), rare & (owner >= len(x))
+    by = np.argsort(ids[right], kind="stable")
+    there, sets = ids[right][by], owner[right][by] - len(x)
+    lo, hi = (np.searchsorted(there, ids[left], side) for side in ("left", "right"))
+    bounds = np.searchsorted(owner[left], np.arange(len(x) + 1))
+    for i in range(len(x)):
+        part = slice(bounds[i], bounds[i + 1])
+        met = gather(sets, lo[part], hi[part] - lo[part])
+        if len(met):
+            out[i] += np.bincount(met, minlength=len(y))
+    return out
+
+
+def forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (row, column) that hold together what `linked` does, at most one for each row and column."""
+    rows, columns = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool)
+    a: list[int] = []
+    b: list[int] = []
+    for first in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [] if rows[first] else [first]
+        rows[first] = True
+        while todo:
+            x = todo.pop()
+            for y in np.flatnonzero(linked[x] & ~columns).tolist():
+                columns[y] = True
+                a.append(x)
+                b.append(y)
+                more = np.flatnonzero(linked[:, y] & ~rows)
+                rows[more] = True
+                a += more.tolist()
+                b += [y] * len(more)
+                todo += more.tolist()
+    return a, b
+
+
+def in_blocks(docs: DataFrame, sets: DataFrame, open_lists: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets of one list but several components, confirmed on whole sets.
+
+    Lists that share members are put together where that takes fewer comparisons. The sets of such a
+    group are dealt over blocks of bounded bytes, and each two blocks meet in one task, which counts
+    intersections exactly and gives no more links than hold its sets together: pairs never become rows.
+    """
+    weight = F.col("n") * 8 + SET_BYTES
+    least = open_lists.groupBy("key").agg(F.min("v").alias("least"))
+    labels = open_lists.join(least, "key").groupBy("v").agg(F.min("least").alias("label"), F.sum(weight).cast("double").alias("w"))
+    apart = labels.groupBy("label").agg(F.sum(F.col("w") * F.col("w")).alias("apart"))
+    labelled = open_lists.join(labels.select("v", "label"), "v")
+    together = labelled.select("label", "key", "n").distinct().groupBy("label").agg(F.sum(weight).cast("double").alias("w"))
+    chosen = together.join(apart, "label").select("label", (F.col("w") * F.col("w") <= F.col("apart")).alias("joined"))
+    grouped = labelled.join(chosen, "label").select(F.when(F.col("joined"), F.col("label")).otherwise(F.col("v")).alias("g"), "key", "n", "root").distinct()
+    grouped = materialize(grouped, "grouped")
+    blocks = grouped.groupBy("g").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("blocks"))
+    members = full_sets(docs, sets.join(grouped.select("key").distinct(), "key", "left_semi"), width)
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = grouped.join(members, "key").join(blocks, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "members", "root")
+
+    def run(block: pa.Table) -> pa.Table:
+        keys, roots = block.column("key").to_pylist(), block.column("root").to_pylist()
+        values = [np.frombuffer(v, np.int64) for v in block.column("members").to_pylist()]
+        own = block.column("own").to_numpy()
+        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a: list[int] = []
+        b: list[int] = []
+        if len(x) and len(y):
+            sizes = np.array([len(s) for s in values])
+            number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+            root = np.array([number[r] for r in roots])
+            both = shared_counts([values[k] for k in x], [values[k] for k in y]).astype(np.int64)
+            linked = 100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)
+            a, b = forest(linked & (root[x][:, None] != root[y][None, :]))
+        return pa.table({"a": pa.array([keys[x[k]] for k in a], pa.binary()), "b": pa.array([keys[y[k]] for k in b], pa.binary())})
+
+    found = rows.groupBy("g", "i", "j").applyInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) -> DataFrame:
     """Links between different sets that hold their components together, each confirmed on whole sets.
 
     Short lists are paired off. In a long list every set is first compared with a central pivot of the
-    list, in rounds with another pivot among the sets outside the former pivot's component. Pairs of one
-    component need no further link; all other pairs of a list are compared in the end.
+    list. Pairs of one component need no further link; lists of several components are compared in blocks.
     """
     lists = prefixes(sets, k, percent)
     lists = materialize(lists.join(lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1"), "v"), "lists")
@@ -172,22 +269,13 @@ def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) ->
         return open_lists.join(pivots, "v").filter(F.col("key") != F.col("b")).filter(_fits(percent, "n", "n2")).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
 
     done = compared(pairs.union(to_pivots(long)).distinct())
-    for k_round in range(PIVOT_ROUNDS):
-        roots = components(done)
-        rooted = long.select("v", "key", "n", "central", "p").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        many = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
-        open_lists = materialize(rooted.join(many, "v", "left_semi"), "open")
-        if open_lists.isEmpty():
-            return done
-        if k_round + 1 < PIVOT_ROUNDS:
-            firsts = open_lists.groupBy("v").agg(F.max(F.struct("central", "root")).alias("p")).select("v", F.col("p.root").alias("first"))
-            rest = open_lists.join(firsts, "v").filter(F.col("root") != F.col("first")).select("v", "key", "n", "central")
-            more = to_pivots(rest)
-        else:
-            there = open_lists.select("v", F.col("key").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("p").alias("p2"))
-            more = open_lists.join(there, "v").filter("key < b and root <> root2").filter(_fits(percent, "n", "n2")).filter(_first_common()).select(F.col("key").alias("a"), "b")
-        done = materialize(done.union(compared(more)).distinct(), "done")
-    return done
+    roots = components(done)
+    rooted = long.select("v", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    many = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
+    open_lists = materialize(rooted.join(many, "v", "left_semi"), "open")
+    if open_lists.isEmpty():
+        return done
+    return materialize(done.union(in_blocks(docs, sets, open_lists, width, percent)).distinct(), "done")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:

@@ -143,6 +143,54 @@ def test_near_duplicates_in_long_lists(spark):
     assert got == brute_components(texts, 3, 85)
 
 
+def test_shared_counts_equal_brute_force():
+    rng = np.random.default_rng(5)
+    common = np.arange(40)
+
+    def some(n):
+        return [np.unique(np.concatenate((rng.choice(common, 30), rng.integers(100, 900, rng.integers(0, 30))))).astype(np.int64) for _ in range(n)]
+
+    x, y = some(70) + [np.zeros(0, np.int64)], some(50)
+    got = near.shared_counts(x, y)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
+def test_forest_keeps_connectivity():
+    rng = np.random.default_rng(6)
+    for share in (0, 0.02, 0.05, 0.5):
+        linked = rng.random((40, 30)) < share
+        a, b = near.forest(linked)
+        assert all(linked[x, y] for x, y in zip(a, b)) and len(a) <= 70
+        few = np.zeros_like(linked)
+        few[a, b] = True
+
+        def reach(links):
+            meets = (links @ links.T) | np.eye(len(links), dtype=bool)
+            for _ in range(6):
+                meets = meets @ meets
+            return meets
+
+        assert (reach(few) == reach(linked)).all()
+        assert (few.any(axis=0) == linked.any(axis=0)).all()
+
+
+@pytest.mark.parametrize("block_bytes", [near.BLOCK_BYTES, 20_000])
+def test_near_duplicates_over_several_blocks(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(near, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(2, 7), replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(table, 3, 85).collect())
+    assert got == brute_components(rows, 3, 85)
+    assert 1 < len({c for _, _, c in got}) < 90
+
+
 def test_near_duplicates_of_an_empty_table(empty):
     assert near.near_duplicates(empty).count() == 0
 
