@@ -36,13 +36,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow, with batches of bounded bytes: fn gets a RecordBatch and yields RecordBatches."""
+def map_arrow(df: DataFrame, fn, schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow, with batches of bounded bytes: fn gets a RecordBatch and yields RecordBatches.
+
+    Workers outlive their tasks, so what a task freed goes back at its end.
+    """
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 yield from fn(part)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -14,6 +14,8 @@ from tessera.llm.common import bound_batches, map_arrow, materialize, partitions
 from tessera.llm.tokens import WordTokenizer, vocabulary
 
 SEQUENCE_TOKENS = 2048
+#: Bytes of texts that a worker tokenizes at a time.
+TEXT_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Steps of the local search at most. A step moves whole classes of equal bins, of which there are
 #: no more than a few for each length, whatever the number of documents.
@@ -41,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE_TOKENS) ->
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES, TEXT_BYTES)
 
 
 class Bins:

@@ -1,9 +1,8 @@
-"""Word-cached tokenizer: each distinct word that a worker meets is encoded once."""
+"""Word-cached tokenizer: a word that a worker has met lately is not encoded again."""
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +10,8 @@ import regex
 
 from tessera.llm.common import gather, words_of
 
-#: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 700_000
+#: Entries of the younger half of a cache. Longer words are encoded each time they come up.
+CACHE_WORDS, CACHE_LETTERS = 100_000, 64
 #: The pre-token pattern of the public word tokenizer.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _loaded: dict[str, "WordTokenizer"] = {}
@@ -31,6 +30,30 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+class Recent:
+    """Ids by word, for at most twice `most` words: when the younger half is full, the older one goes."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is not None:
+                self.put(word, found)
+        return found
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(word) > CACHE_LETTERS:
+            return
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+
+
 class WordTokenizer:
     """Ids of whole texts under a tokenizer that lower-cases and drops white space.
 
@@ -46,13 +69,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pretokens: dict[str, list[int]] = {}
-        self.pool = array("I")
-        self.starts = array("q", [0])
+        self.known = Recent(CACHE_WORDS)
+        self.pretokens = Recent(CACHE_WORDS)
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -60,42 +78,35 @@ class WordTokenizer:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _pretoken(self, word: str) -> list[int]:
+    def _pretoken(self, word: str) -> bytes:
         found = self.pretokens.get(word)
         if found is None:
-            found = [t.id for t in self.model.tokenize(word.translate(self.letters))]
-            self.pretokens[word] = found
+            found = np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+            self.pretokens.put(word, found)
         return found
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if "<|" in word or not (word.isascii() or max(word) <= "\xff"):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         low = word.lower()
         if low.isalpha():
             return self._pretoken(low)
-        ids: list[int] = []
-        for part in PRETOKEN.findall(low):
-            ids += self._pretoken(part)
-        return ids
+        return b"".join(self._pretoken(part) for part in PRETOKEN.findall(low))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's offset among them."""
         codes, words, offsets = words_of(texts)
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
-        known, pool, starts = self.known, self.pool, self.starts
-        at = []
+        own = []
         for word in words:
-            k = known.get(word)
-            if k is None:
-                pool.extend(self._word(word))
-                starts.append(len(pool))
-                known[word] = k = len(known)
-            at.append(k)
-        bounds = np.array(starts, np.int64)
-        place = np.array(at, np.int64)[codes] if at else np.zeros(0, np.int64)
-        each = bounds[place + 1] - bounds[place]
-        return gather(np.array(pool, "<u4"), bounds[place], each), np.concatenate(([0], np.cumsum(each)))[offsets]
+            ids = self.known.get(word)
+            if ids is None:
+                ids = self._word(word)
+                self.known.put(word, ids)
+            own.append(ids)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        return gather(np.frombuffer(b"".join(own), "<u4"), starts[codes], each), np.concatenate(([0], np.cumsum(each)))[offsets]
 
 
 def vocabulary(name: str) -> str:
