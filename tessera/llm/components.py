@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 #: Rounds at most; the number needed grows with the square of a logarithm of the largest component.
 ROUNDS = 60
@@ -37,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         if (mark["n"], mark["h"]) == seen or not mark["n"]:
             break
         seen = (mark["n"], mark["h"])
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        discard(last)
     else:
         raise RuntimeError(f"components not settled after {ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())

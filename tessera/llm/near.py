@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, gather, map_arrow, materialize, mix64, table, words_of
+from tessera.llm.common import bound_batches, discard, gather, map_arrow, materialize, mix64, table, words_of
 from tessera.llm.components import components
 
 #: Values kept of each set: its smallest hashes.
@@ -259,10 +259,14 @@ def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) ->
         chosen = materialize(estimated(pairs, sets, k, percent), "pairs")
         ends = chosen.select(F.col("a").alias("key")).union(chosen.select("b")).distinct()
         members = full_sets(docs, sets.join(ends, "key", "left_semi"), width)
-        return materialize(verified(chosen, members, percent), "verified")
+        out = materialize(verified(chosen, members, percent), "verified")
+        discard(chosen)
+        return out
 
     if long.isEmpty():
-        return compared(pairs)
+        done = compared(pairs)
+        discard(lists)
+        return done
 
     def to_pivots(open_lists: DataFrame) -> DataFrame:
         pivots = open_lists.groupBy("v").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("v", F.col("p.key").alias("b"), F.col("p.n").alias("n2"))
@@ -273,6 +277,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int, k: int, percent: int) ->
     rooted = long.select("v", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     many = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
     open_lists = materialize(rooted.join(many, "v", "left_semi"), "open")
+    discard(lists)
     if open_lists.isEmpty():
         return done
     return materialize(done.union(in_blocks(docs, sets, open_lists, width, percent)).distinct(), "done")
@@ -286,11 +291,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     their own component. A null doc_id takes part in links, but is never the smallest; a component of
     null ids alone has a null id, and its rows are kept. Of repeated doc_ids all rows are returned.
     """
-    rows = materialize(sketches(docs, width, k), "sketches")
-    full = rows.filter("n_shingles > 0")
-    sets = full.groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("th").alias("th"))
+    sketched = materialize(sketches(docs, width, k), "sketches")
+    sets = sketched.filter("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("th").alias("th"))
     sets = materialize(sets, "sets")
-    roots = components(links(docs, sets, width, k, percent))
+    rows = materialize(sketched.drop("sketch"), "rows")
+    discard(sketched)
+    full = rows.filter("n_shingles > 0")
+    found = links(docs, sets, width, k, percent)
+    discard(sets)
+    roots = components(found)
+    discard(found)
     keyed = full.groupBy("key").agg(F.min("doc_id").alias("least"))
     rooted = keyed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

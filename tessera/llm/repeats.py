@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, map_arrow, materialize, mix64, partitions, table
+from tessera.llm.common import bound_batches, discard, map_arrow, materialize, mix64, partitions, table
 
 #: Bytes of a repeated string at least.
 LENGTH = 400
@@ -278,6 +278,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wants = runs.join(often, "v", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("v", "first", "last", "again")).alias("wants"))
     once = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     segments = materialize(_segments(once.join(wants, "tid"), length), "segments")
+    discard(runs)
     contents = segments.groupBy("v", "sid").agg(F.first("content").alias("content"), F.count("*").alias("n"), F.max("again").alias("again"))
     sizes = segments.groupBy("v", "sid").agg(F.first(F.octet_length("content")).alias("bytes")).groupBy("v").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
     groups = contents.join(sizes, "v")
