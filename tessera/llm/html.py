@@ -8,16 +8,16 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, map_arrow, materialize, table
+from tessera.llm.common import bound_batches, discard, map_arrow, materialize, table
 
-#: Pages of a host that its wrapper is induced from, at most: those with the least hashes.
-SAMPLE = 12
-#: A text is of the template if this share of the aligned pages, and so many pages, have it in one place.
+#: A text is of the template if this share of all pages with its place, and so many pages, have it there.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.6, 3
-#: Wrappers are broadcast up to so many bytes; beyond, they are joined by host.
+#: Outside of marked articles also if so many pages, and so many times those of the place's other texts on average, have it.
+REPEATED = 10
+#: Wrappers are broadcast up to so many bytes; beyond, they are joined by host. So are places and candidates.
 BROADCAST_BYTES = 16 << 20
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|</?[a-zA-Z][^<]*\Z|[^<]+|<""", re.S)
@@ -258,63 +258,54 @@ def _mark(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 11  # fits a JSON number
 
 
-def outline(source: str) -> str:
-    """What induction needs of a page: its skeleton and the marks of its blocks by node, as JSON."""
+def outline(source: str) -> tuple[str, int, list[int], list[int], list[int]]:
+    """What induction needs of a page: its skeleton as JSON, a hash of all its texts, and of each block that
+    isn't marked as beside the article twice its node (one more in a marked main region), mark and length."""
     page = Page(source)
     tree, node = skeleton(page)
-    marks: dict[int, list[int]] = {}
-    for at, text, _ in page.blocks:
-        marks.setdefault(node[at], []).append(_mark(text))
-    return json.dumps([tree, sorted(marks.items())], separators=(",", ":"))
+    marks = [_mark(text) for _, text, _ in page.blocks]
+    kept = [(2 * node[at] + page.inside[at], m, len(text)) for (at, text, _), m in zip(page.blocks, marks) if not page.out[at]]
+    key = _mark(",".join(map(str, sorted(marks))))
+    return json.dumps(tree, separators=(",", ":")), key, *([list(x) for x in zip(*kept)] or [[], [], []])
 
 
 def _tree(x) -> tuple:
     return (x[0], tuple(_tree(c) for c in x[1]))
 
 
-def induce(outlines: list[str]) -> str | None:
-    """The wrapper of pages of one host: a reference tree and, by node, the texts that don't vary.
+def places(reference: tuple, tree: tuple) -> list[int]:
+    """The place of each node of a tree: the node of the reference that it matches, or else the path to it from the place of its parent."""
+    matched = {j: i for i, j in tree_match(reference, tree).items()}
+    out: list[int] = []
 
-    Pages with the same blocks count once, for copies of an article say nothing on the template.
-    """
-    pages, seen = [], set()
-    for o in sorted(outlines):
-        tree, marks = json.loads(o)
-        key = tuple(sorted(m for _, ms in marks for m in ms))
-        if key not in seen:
-            seen.add(key)
-            pages.append((_tree(tree), {k: set(ms) for k, ms in marks}))
-    if len(pages) < 2:
-        return None
-    reference = max(range(len(pages)), key=lambda i: (_size(pages[i][0]), -i))
-    tree = pages[reference][0]
-    counts: dict[int, dict[int, int]] = {}
-    aligned: dict[int, int] = {}
-    for k, (other, marks) in enumerate(pages):
-        for i, j in tree_match(tree, other).items():
-            aligned[i] = aligned.get(i, 0) + 1
-            for m in marks.get(j, ()):
-                counts.setdefault(i, {})[m] = counts.get(i, {}).get(m, 0) + 1
-    constant = {}
-    for i, by in counts.items():
-        if own := sorted(m for m, n in by.items() if n >= max(CONSTANT_PAGES, CONSTANT_SHARE * aligned[i])):
-            constant[i] = own
-    return json.dumps([tree, sorted(constant.items())], separators=(",", ":"))
+    def walk(t: tuple, above: int) -> None:
+        at = len(out)
+        out.append(_mark(str(matched[at]) if at in matched else f"{above}/{t[0]}"))
+        here = out[at]
+        for c in t[1]:
+            walk(c, here)
+
+    walk(tree, 0)
+    return out
 
 
 class Wrapper:
+    """A reference tree and, by place, the texts that are template there."""
+
     def __init__(self, text: str):
         tree, constant = json.loads(text)
         self.tree = _tree(tree)
-        self.constant = {k: set(ms) for k, ms in constant}
-        self.aligned: dict[tuple, dict[int, set]] = {}
+        self.constant: dict[int, set] = {}
+        for place, mark in constant:
+            self.constant.setdefault(place, set()).add(mark)
+        self.aligned: dict[tuple, list[int]] = {}
 
-    def templates(self, tree: tuple) -> dict[int, set]:
-        """Constant texts by node of a page's tree."""
+    def templates(self, tree: tuple) -> list[int]:
+        """The places of a page's nodes."""
         if tree not in self.aligned:
             if len(self.aligned) > 64:
                 self.aligned.clear()
-            self.aligned[tree] = {j: self.constant[i] for i, j in tree_match(self.tree, tree).items() if i in self.constant}
+            self.aligned[tree] = places(self.tree, tree)
         return self.aligned[tree]
 
 
@@ -323,12 +314,11 @@ def extract(source: str | None, wrapper: Wrapper | None = None) -> str:
     if not source:
         return ""
     page = Page(source)
-    fixed: dict[int, set] = {}
-    node: list[int] = []
+    blocks = [b for b in page.blocks if not page.out[b[0]]]
     if wrapper and wrapper.constant:
         tree, node = skeleton(page)
-        fixed = wrapper.templates(tree)
-    blocks = [(at, text, linked) for at, text, linked in page.blocks if not page.out[at] and not (fixed and _mark(text) in fixed.get(node[at], ()))]
+        place = wrapper.templates(tree)
+        blocks = [b for b in blocks if _mark(b[1]) not in wrapper.constant.get(2 * place[node[b[0]]] + page.inside[b[0]], ())]
     weight: dict[int, int] = {}
     for at, text, linked in blocks:
         here, own = at, max(0, len(text) - linked)
@@ -353,32 +343,113 @@ def _under(page: Page, at: int, region: int) -> bool:
     return at == region
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], bytes_: Column, how: str = "inner") -> DataFrame:
+    """A join that doesn't move left while right, written before, is small."""
+    total = right.agg(F.coalesce(F.sum(bytes_), F.lit(0)).alias("n")).first()["n"]
+    return left.join(F.broadcast(right) if total <= BROADCAST_BYTES else right, keys, how)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper of the hosts with template texts, from all pages (host, html).
+
+    Pages with the same blocks count once, for copies of an article say nothing on the template. Each
+    skeleton of a host is aligned once with the host's most frequent one; nodes without a match there keep
+    places of their own, so that no layout is left out. Texts are counted by place over all pages.
+    """
+    traced_as = "host string, key long, shape long, tree string, nodes array<long>, marks array<long>, sizes array<int>"
+
+    def outlines(batch: pa.RecordBatch):
+        seen, found = set(), []
+        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tree, key, *blocks = outline(source)
+            shape = _mark(tree)
+            found.append((host, key, shape, None if (host, shape) in seen else tree, *blocks))
+            seen.add((host, shape))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        yield _batch(found, types, ["host", "key", "shape", "tree", "nodes", "marks", "sizes"])
+
+    def align(batch: pa.RecordBatch):
+        found = [(h, s, places(_tree(json.loads(r)), _tree(json.loads(t)))) for h, s, t, r in zip(*(c.to_pylist() for c in batch.columns))]
+        yield _batch(found, [pa.string(), pa.int64(), pa.list_(pa.int64())], ["host", "shape", "places"])
+
+    def placed(batch: pa.RecordBatch):
+        for host, nodes, marks, sizes, place, *more in zip(*(c.to_pylist() for c in batch.columns)):
+            yield host, [(2 * place[n >> 1] + (n & 1), m) for n, m in zip(nodes, marks)], sizes, *more
+
+    def counted(counts: dict):
+        rows = [(*k, n) for k, n in counts.items()]
+        return _batch(rows, [pa.string(), pa.int64(), pa.int64(), pa.int64()], ["host", "place", "mark", "n"])
+
+    def tally(batch: pa.RecordBatch):
+        counts: dict[tuple, int] = {}
+        for host, items, _ in placed(batch):
+            for x in set(items):
+                counts[(host, *x)] = counts.get((host, *x), 0) + 1
+        yield counted(counts)
+
+    def evidence(batch: pa.RecordBatch):
+        # pages that are candidates for the most part are near copies of each other
+        counts: dict[tuple, int] = {}
+        known: dict[str, dict] = {}
+        for host, items, sizes, candidates in placed(batch):
+            if host not in known:
+                known[host] = {(c["place"], c["mark"]): c["fixed"] for c in candidates}
+            of = known[host]
+            rest = sum(n for x, n in zip(items, sizes) if not of.get(x))
+            if 2 * sum(n for x, n in zip(items, sizes) if of.get(x) is False) <= rest:
+                for x in {x for x in items if of.get(x) is False}:
+                    counts[(host, *x)] = counts.get((host, *x), 0) + 1
+        yield counted(counts)
+
+    traced = materialize(map_arrow(pages, outlines, traced_as), "outlines")
+    once = traced.groupBy("host", "key").agg(F.min(F.struct("shape", "nodes", "marks", "sizes")).alias("p")).select("host", "p.*")
+    once = materialize(once, "once")
+    shapes = traced.filter("tree is not null").groupBy("host", "shape").agg(F.min("tree").alias("tree"))
+    shapes = materialize(shapes.join(once.groupBy("host", "shape").agg(F.count("*").alias("pages")), ["host", "shape"]), "shapes")
+    most = F.max(F.struct("pages", F.length("tree").alias("size"), "tree"))["tree"]
+    reference = materialize(shapes.groupBy("host").agg(most.alias("reference"), F.sum("pages").alias("n")).filter(F.col("n") >= CONSTANT_PAGES).drop("n"), "references")
+    both = _joined(shapes.select("host", "shape", "tree"), reference, ["host"], F.octet_length("reference")).select("host", "shape", "tree", "reference")
+    slots = materialize(map_arrow(both, align, "host string, shape long, places array<long>"), "places")
+    spots = _joined(once, slots, ["host", "shape"], 8 * F.size("places") + 40).select("host", "nodes", "marks", "sizes", "places")
+
+    counts_as = "host string, place long, mark long, n long"
+    counts = materialize(map_arrow(spots, tally, counts_as).groupBy("host", "place", "mark").agg(F.sum("n").alias("n")), "counts")
+    present = shapes.select("host", "shape", "pages").join(slots, ["host", "shape"]).select("host", "pages", F.explode(F.array_distinct("places")).alias("node"))
+    present = present.groupBy("host", "node").agg(F.sum("pages").alias("pages"))
+    variety = counts.groupBy("host", "place").agg(F.sum("n").alias("total"), F.count("*").alias("texts"))
+    often = counts.filter(F.col("n") >= CONSTANT_PAGES).join(variety, ["host", "place"]).withColumn("node", F.shiftright("place", 1)).join(present, ["host", "node"])
+    n = F.col("n")
+    rare = (F.col("place") % 2 == 0) & (n >= REPEATED) & (n * (F.col("texts") - 1) >= REPEATED * (F.col("total") - n))
+    often = often.withColumn("fixed", n >= CONSTANT_SHARE * F.col("pages")).filter(F.col("fixed") | rare)
+    often = materialize(often.select("host", "place", "mark", "fixed", "total", "texts"), "often")
+    sets = materialize(often.groupBy("host").agg(F.collect_list(F.struct("place", "mark", "fixed")).alias("candidates"), F.bool_and("fixed").alias("all")).filter("not all").drop("all"), "candidates")
+    seen = _joined(spots, sets, ["host"], 24 * F.size("candidates") + 40).select("host", "nodes", "marks", "sizes", "places", "candidates")
+    seen = map_arrow(seen, evidence, counts_as).groupBy("host", "place", "mark").agg(F.sum("n").alias("n"))
+    template = often.filter("fixed").select("host", "place", "mark").union(often.filter("not fixed").join(seen, ["host", "place", "mark"]).filter(rare).select("host", "place", "mark"))
+    texts = template.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.array("place", "mark")))).alias("constant"))
+    found = texts.join(reference, "host").select("host", F.concat(F.lit("["), "reference", F.lit(","), "constant", F.lit("]")).alias("wrapper"))
+    found = materialize(found, "wrappers")
+    discard(traced, once, shapes, reference, slots, counts, often, sets)
+    return found
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page. A null html has an empty text; a null url is a host of its own kind.
 
-    Outlines of at most SAMPLE pages of a host are brought together to induce its wrapper. The pages
-    themselves are not moved while all wrappers together are small; else they are joined by host.
+    Outlines of all pages of a host induce its wrapper. The pages themselves are not moved while all
+    wrappers together are small; else they are joined by host.
     """
     spark = pages.sparkSession
     bound_batches(spark, 1000)
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    # equal pages of a host rank together, so that copies don't fill its sample
-    least = Window.partitionBy("host").orderBy("h")
-    few = rows.filter("host <> '' and html is not null").select("host", F.xxhash64("html").alias("h"))
-    few = few.withColumn("k", F.dense_rank().over(least)).filter(F.col("k") <= SAMPLE).groupBy("host").agg(F.max("h").alias("most"))
-    sampled = rows.join(few, "host").filter(F.xxhash64("html") <= F.col("most")).select("host", "html")
-
-    def outlines(batch: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([outline(x) for x in batch.column(1).to_pylist()], pa.string())], ["host", "outline"])
-
-    def wrappers(batch: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([induce(x) for x in batch.column(1).to_pylist()], pa.string())], ["host", "wrapper"])
-
-    traced = map_arrow(sampled, outlines, "host string, outline string").groupBy("host").agg(F.collect_set("outline").alias("outlines"))
-    found = materialize(map_arrow(traced.filter("size(outlines) > 1"), wrappers, "host string, wrapper string").filter("wrapper is not null"), "wrappers")
-    bytes_ = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0)).alias("n")).first()["n"]
-    joined = rows.join(F.broadcast(found) if bytes_ <= BROADCAST_BYTES else found, "host", "left")
+    found = wrappers(rows.filter("host <> '' and html is not null").select("host", "html"))
+    joined = _joined(rows, found, ["host"], F.octet_length("wrapper") + F.octet_length("host"), "left")
 
     def run(batch: pa.RecordBatch):
         known: dict[str, Wrapper] = {}

@@ -335,6 +335,33 @@ def test_html(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_from_all_pages(spark):
+    """A notice below the share of all pages, in a layout of few pages, among paragraphs of plain divs."""
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    pages, want = [], []
+    for k in range(120):
+        own = [prose() for _ in range(4)]
+        notice = ["Prices hold while stocks last."] if k % 4 == 0 else []
+        body = "".join(f"<p>{t}</p>" for t in own[:2] + notice + own[2:])
+        if k % 12 == 1:
+            body += "<section><h4>Section terms apply to all readers.</h4></section>"
+        pages.append((k, f"http://hot.example/{k}", f"<html><body><div>{body}</div></body></html>"))
+        want.append("\n\n".join(own))
+    # near copies of one article are no template, nor is a line that articles in a marked region share
+    base = [prose() for _ in range(6)]
+    for k in range(120, 150):
+        own = base[: k % 6] + [prose()] + base[k % 6 + 1 :] if k % 2 else [prose() for _ in range(4)]
+        pages.append((k, f"http://copies.example/{k}", "<div>" + "".join(f"<p>{t}</p>" for t in own) + "</div>"))
+        want.append("\n\n".join(own))
+    for k in range(150, 190):
+        own = [prose(), prose()] + (["Shared line."] if k % 3 == 0 else [])
+        pages.append((k, f"http://marked.example/{k}", "<article>" + "".join(f"<p>{t}</p>" for t in own) + "</article>"))
+        want.append("\n\n".join(own))
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    assert [got[k] for k in range(190)] == want
+
+
 def test_tree_match():
     a = ("r", (("x", ()), ("y", ()), ("z", ())))
     b = ("r", (("x", ()), ("w", ()), ("z", ())))
