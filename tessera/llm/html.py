@@ -37,7 +37,7 @@ MAIN_ROLES = frozenset(("main", "article", "articlebody"))
 
 
 class Page:
-    """Elements of a page (signature, parent, excluded, main) and its blocks of text in page order."""
+    """Elements of a page (signature, parent, excluded, in an article or main region, in one or in a marked body) and its blocks of text in page order."""
 
     def __init__(self, source: str):
         self.sig: list[str] = ["#"]
@@ -45,7 +45,7 @@ class Page:
         self.out: list[bool] = [False]
         self.main: list[bool] = [False]
         self.inside: list[bool] = [False]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str]] = []
         self._read(source)
 
     def _open(self, at: int, tag: str, attributes: str) -> int:
@@ -68,30 +68,22 @@ class Page:
         self.sig.append(tag + ("." + names[0].split()[0] if names and names[0].split() else ""))
         self.parent.append(at)
         self.out.append(out)
-        self.main.append(main)
+        # the body of an article is not all of it: title and lead may stand before the body
+        self.main.append(tag in ("article", "main") or role in ("main", "article") or self.main[at])
         self.inside.append(main or self.inside[at])
         return len(self.sig) - 1
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("#", 0, True)]
         text: list[str] = []
-        linked = links = 0
 
         def flush() -> None:
-            nonlocal linked
             if text:
                 block = SPACE.sub(" ", entities.unescape("".join(text))).strip()
                 if block:
                     at = next(i for t, i, b in reversed(stack) if b)
-                    self.blocks.append((at, block, linked))
+                    self.blocks.append((at, block))
                 text.clear()
-            linked = 0
-
-        def pop_to(k: int) -> None:
-            nonlocal links
-            for t, _, _ in stack[k:]:
-                links -= t == "a"
-            del stack[k:]
 
         raw = ""
         for m in TOKEN.finditer(source):
@@ -104,8 +96,6 @@ class Page:
             if tag is None:
                 if token[0] != "<" or token == "<":
                     text.append(token)
-                    if links:
-                        linked += len(token)
                 elif token.startswith("<![CDATA["):
                     text.append(token[9:-3])
                 continue
@@ -116,18 +106,18 @@ class Page:
                 if block:
                     flush()
                 if k and (block or not any(b for _, _, b in stack[k + 1 :])):
-                    pop_to(k)
+                    del stack[k:]
                 continue
             if block:
                 flush()
                 if tag in CLOSES_P:
                     k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
                     if k:
-                        pop_to(k)
+                        del stack[k:]
                 elif tag in SAME:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == tag:
-                            pop_to(k)
+                            del stack[k:]
                             break
                         if stack[k][0] in SAME[tag]:
                             break
@@ -153,7 +143,6 @@ class Page:
                 raw = tag
                 continue
             stack.append((tag, at, own))
-            links += tag == "a"
         flush()
 
 
@@ -263,8 +252,8 @@ def outline(source: str) -> tuple[str, int, list[int], list[int], list[int]]:
     isn't marked as beside the article twice its node (one more in a marked main region), mark and length."""
     page = Page(source)
     tree, node = skeleton(page)
-    marks = [_mark(text) for _, text, _ in page.blocks]
-    kept = [(2 * node[at] + page.inside[at], m, len(text)) for (at, text, _), m in zip(page.blocks, marks) if not page.out[at]]
+    marks = [_mark(text) for _, text in page.blocks]
+    kept = [(2 * node[at] + page.inside[at], m, len(text)) for (at, text), m in zip(page.blocks, marks) if not page.out[at]]
     key = _mark(",".join(map(str, sorted(marks))))
     return json.dumps(tree, separators=(",", ":")), key, *([list(x) for x in zip(*kept)] or [[], [], []])
 
@@ -310,7 +299,8 @@ class Wrapper:
 
 
 def extract(source: str | None, wrapper: Wrapper | None = None) -> str:
-    """The main text: blocks that vary, in the main region, joined in page order by a blank line."""
+    """The main text, joined in page order by a blank line: blocks of the article and main regions, of the page where
+    none is marked. Only template and marked surroundings are left out."""
     if not source:
         return ""
     page = Page(source)
@@ -319,28 +309,9 @@ def extract(source: str | None, wrapper: Wrapper | None = None) -> str:
         tree, node = skeleton(page)
         place = wrapper.templates(tree)
         blocks = [b for b in blocks if _mark(b[1]) not in wrapper.constant.get(2 * place[node[b[0]]] + page.inside[b[0]], ())]
-    weight: dict[int, int] = {}
-    for at, text, linked in blocks:
-        here, own = at, max(0, len(text) - linked)
-        while here >= 0:
-            weight[here] = weight.get(here, 0) + own
-            here = page.parent[here]
-    mains = [i for i in weight if page.main[i]]
-    if mains:
-        # the innermost of the regions that hold most of what any main region holds
-        most = max(weight[i] for i in mains)
-        region = max((i for i in mains if weight[i] >= 0.7 * most), default=0)
-        return "\n\n".join(t for at, t, _ in blocks if _under(page, at, region))
-    # no region is marked: the innermost element with most of the text, without lists of links
-    total = weight.get(0, 0)
-    region = max((i for i, w in weight.items() if w >= 0.75 * total), default=0)
-    return "\n\n".join(t for at, t, linked in blocks if _under(page, at, region) and 2 * linked <= len(t))
-
-
-def _under(page: Page, at: int, region: int) -> bool:
-    while at > region:
-        at = page.parent[at]
-    return at == region
+    # all marked regions that hold text, or else the whole page
+    main = [text for at, text in blocks if page.main[at]]
+    return "\n\n".join(main or [text for _, text in blocks])
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], bytes_: Column, how: str = "inner") -> DataFrame:

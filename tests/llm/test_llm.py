@@ -335,6 +335,16 @@ def test_html(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_the_whole_article():
+    long = "word " * 200 + "end"
+    assert html.extract(f"<h1>T</h1><p>lead<p>{long}<p>last") == f"T\n\nlead\n\n{long}\n\nlast"
+    body = f"<h1>T</h1><p>lead</p><div itemprop=articleBody><p>{long}</p></div>"
+    assert html.extract(f"<nav>n</nav><main>{body}</main><footer>f</footer>") == html.extract(f"<nav>n</nav>{body}") == f"T\n\nlead\n\n{long}"
+    assert html.extract(f"<div>side</div><main><article><p>{long}</article><article><p>short</article></main>") == f"{long}\n\nshort"
+    assert html.extract("<p>plain text<p><a href=/>all of it a link</a> x") == "plain text\n\nall of it a link x"
+    assert html.extract("<main></main><p>outside</p>") == "outside"
+
+
 def test_html_template_from_all_pages(spark):
     """A notice below the share of all pages, in a layout of few pages, among paragraphs of plain divs."""
     rng = random.Random(5)
