@@ -93,7 +93,7 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: _overlaps(w, b)))
     spans = F.concat("base", free)
     kinds = lambda *of: F.exists("s", lambda x: x["ord"].isin(*of))
-    once = scanned.filter("size(weak) > 0").select("tid", spans.alias("s")).filter(kinds(1, 3) & kinds(0, 2, 4) & kinds(3, 4)).dropDuplicates(["tid"])
+    once = scanned.filter("size(weak) > 0").select("tid", spans.alias("s")).filter(kinds(1, 3) & kinds(0, 2, 4) & kinds(3, 4, 5)).dropDuplicates(["tid"])
     parts = once.select("tid", F.explode("s").alias("s")).select("tid", "s", F.floor(F.col("s.start") / scope).cast("int").alias("cell"))
     near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
 
