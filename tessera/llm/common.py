@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch at most; a batch of long texts is cut further by bytes in `slices`.
 BATCH_BYTES = 8 << 20
+#: Bits of the bitmaps that stand for sets of keys: 8 MB.
+KEY_BITS = 1 << 26
 #: Spark's own setting for removing the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -22,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves a single local JVM only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,6 +61,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def key_bits(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the keys' hashes, in rows of 4 KB (bucket, bits): of at most KEY_BITS bits however many keys there are."""
+    at = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    return keys.select(F.shiftright(at, 15).cast("int").alias("bucket"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(rows: DataFrame, key: str, bits: DataFrame, there: bool = True) -> DataFrame:
+    """Rows whose key may be among those of key_bits (or, with there=False, those whose key certainly isn't).
+
+    A filter before a shuffle, not a verdict: with very many keys the bitmap fills and lets all rows pass.
+    The bitmap is broadcast; KEY_BITS bounds it.
+    """
+    at = F.pmod(F.xxhash64(rows[key]), F.lit(KEY_BITS))
+    bit = at.bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(bits["bits"], F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.shiftright(at, 15).cast("int") == bits["bucket"]) & (F.expr("0") != byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)))))
+    return rows.join(F.broadcast(bits), hit, "left_semi" if there else "left_anti")
+
+
 def map_arrow(df: DataFrame, fn, schema: str, most: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow, with batches of bounded bytes: fn gets a RecordBatch and yields RecordBatches.
 
@@ -128,9 +152,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of df has one."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def text_key(column: str = "text"):
+    """Half of a text's SHA-256: 128 bits that stand for it."""
+    return F.substring(F.unhex(F.sha2(F.col(column).cast("binary"), 256)), 1, 16)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, discard, gather, map_arrow, materialize, mix64, table, words_of
+from tessera.llm.common import bound_batches, discard, gather, map_arrow, materialize, mix64, table, text_key, words_of
 from tessera.llm.components import components
 
 #: Values kept of each set: its smallest hashes.
@@ -61,6 +61,11 @@ def needed(n: int, k: int, percent: int) -> int:
     return max(1, min(low, math.ceil(n * percent / 100)))
 
 
+def text_hash():
+    """Stands for a text: 128 bits; null texts have one of their own."""
+    return F.coalesce(text_key(), F.lit(b""))
+
+
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, key (of the whole set), sketch of every row."""
     bound_batches(docs.sparkSession)
@@ -78,8 +83,8 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
             ["doc_id", "th", "n_shingles", "key", "sketch"],
         )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
-    return map_arrow(rows, run, "doc_id long, th long, n_shingles long, key binary, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), F.col("text").cast("string"))
+    return map_arrow(rows, run, "doc_id long, th binary, n_shingles long, key binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -92,7 +97,7 @@ def full_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
             ["key", "members"],
         )
 
-    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(text_hash().alias("th"), F.col("text").cast("string").alias("text"))
     once = texts.join(keys.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     return map_arrow(once.select("text"), run, "key binary, members binary").dropDuplicates(["key"])
 

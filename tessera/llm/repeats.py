@@ -10,14 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, discard, map_arrow, materialize, mix64, partitions, table
+from tessera.llm.common import bound_batches, discard, key_bits, map_arrow, marked, materialize, mix64, partitions, table, text_key
 
 #: Bytes of a repeated string at least.
 LENGTH = 400
 #: Bytes of the grams whose least hash deals a string to its group.
 GRAM = 16
-#: Groups of more bytes than this are dealt anew by single strings; a worker holds a group at a time.
+#: Groups of more bytes than this are dealt anew by longer grams; a worker holds a group at a time.
 GROUP_BYTES = 1 << 20
+#: How much longer the grams of the next level are.
+LONGER = 4
 #: Bytes of groups that are indexed together.
 INDEX_BYTES = 1 << 20
 #: A byte that UTF-8 never uses; it ends each segment in the index.
@@ -45,13 +47,27 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def levels(length: int) -> list[int]:
+    """Lengths of the grams that deal strings: each level splits the groups that the one before leaves too large.
+
+    At the last level a gram is the whole string, so a group there is one string and its places.
+    """
+    found = [GRAM]
+    while found[-1] * LONGER <= length - GRAM:
+        found.append(found[-1] * LONGER)
+    return [*found, *([length - GRAM] if found[-1] < length - GRAM else []), *([length] if length > GRAM else [])]
+
+
+def runs_of(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings of `length` bytes that share their least gram hash: hash, first, last, whether it recurs.
 
     Equal strings have equal hashes, so they meet in the group of that hash, wherever they start.
     """
-    h = gram_hashes(data)
-    wide = length - GRAM + 1
+    h = gram_hashes(data, gram)
+    if gram == length:
+        at = np.arange(len(h))
+        return h.view(np.int64), at, at, np.zeros(len(h), bool)
+    wide = length - gram + 1
     least = sliding_least(h, wide)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.concatenate((first[1:] - 1, [len(least) - 1]))
@@ -149,52 +165,58 @@ def _array(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint8)
 
 
-def text_key(column: str = "text"):
-    """Half of a text's SHA-256: 128 bits that stand for it."""
-    return F.substring(F.unhex(F.sha2(F.col(column).cast("binary"), 256)), 1, 16)
+RUNS = "tid binary, v long, sid binary, first int, last int, again boolean"
+
+
+def _digests(data: bytes, first: np.ndarray, last: np.ndarray, length: int) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
 
 
 def _runs(texts: DataFrame, length: int) -> DataFrame:
+    """The runs of every text: tid, v (least gram hash), sid (hash of the run's bytes), first, last, again."""
+
     def run(batch: pa.RecordBatch):
-        columns: list[list] = [[], [], [], [], []]
-        seen = set()
+        seen: set = set()
+        tids, sids, columns = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if key in seen:
-                continue
-            seen.add(key)
-            value, first, last, again = runs_of(_array(text), length)
-            for column, part in zip(columns, (value, first, last, again)):
-                column.append(part)
-            columns[4].append(pa.array([key], pa.binary()).take(pa.array(np.zeros(len(value), np.int64))))
+            if key not in seen:
+                seen.add(key)
+                value, first, last, again = runs_of(_array(text), length)
+                columns.append((value, first.astype(np.int32), last.astype(np.int32), again))
+                sids += _digests(text.as_buffer().to_pybytes(), first, last, length)
+                tids += [key] * len(value)
         if seen:
-            value, first, last, again = (np.concatenate(c) for c in columns[:4])
-            yield pa.RecordBatch.from_arrays(
-                [pa.chunked_array(columns[4]).combine_chunks(), *(pa.array(x) for x in (value, first.astype(np.int32), last.astype(np.int32), again))],
-                ["tid", "v", "first", "last", "again"],
-            )
+            value, first, last, again = (pa.array(np.concatenate(c)) for c in zip(*columns))
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), value, pa.array(sids, pa.binary()), first, last, again], ["tid", "v", "sid", "first", "last", "again"])
 
-    return map_arrow(texts.select("tid", F.col("text").cast("binary")), run, "tid binary, v long, first int, last int, again boolean")
+    return map_arrow(texts.select("tid", F.col("text").cast("binary")), run, RUNS)
 
 
-def _segments(wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs: v, sid (hash of the bytes), content, tid, first, again."""
+def _contents(runs: DataFrame, place) -> DataFrame:
+    """The distinct contents of runs: v, sid, many (it has several places), again, and one place (tid, first, last)."""
+    several = F.min(place) != F.max(place)
+    if "many" in runs.columns:
+        several = several | F.max("many")
+    return runs.groupBy("v", "sid").agg(several.alias("many"), F.max("again").alias("again"), F.min(F.struct("tid", "first", "last")).alias("at")).select("v", "sid", "many", "again", "at.*")
 
-    def run(batch: pa.RecordBatch):
-        out: list[list] = [[], [], [], [], [], []]
-        for tid, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            data = _array(text)
-            for w in wants:
-                content = data[w["first"] : w["last"] + length].tobytes()
-                for column, x in zip(out, (w["v"], xxhash.xxh3_128_digest(content), content, tid, w["first"], w["again"])):
-                    column.append(x)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["v", "sid", "content", "tid", "first", "again"])
 
-    return map_arrow(wanted.select("tid", F.col("text").cast("binary"), "wants"), run, "v long, sid binary, content binary, tid binary, first int, again boolean")
+def _wanted(texts: DataFrame, contents: DataFrame) -> DataFrame:
+    """One row per text that contents are taken from: tid, text, wants. Other texts are not moved."""
+    wants = contents.groupBy("tid").agg(F.collect_list(F.struct("v", "sid", "first", "last", "many")).alias("wants"))
+    once = marked(texts, "tid", key_bits(contents.select("tid"), "tid")).groupBy("tid").agg(F.first("text").alias("text"))
+    return once.join(wants, "tid").select("tid", F.col("text").cast("binary").alias("text"), "wants")
 
 
-def _indexed(groups: DataFrame, length: int, parts: int) -> DataFrame:
-    """(sid, lo, hi): runs of repeated strings in the segments of groups (v, sid, content, n)."""
+def _indexed(texts: DataFrame, contents: DataFrame, length: int, parts: int) -> DataFrame:
+    """(sid, lo, hi): runs of repeated strings in contents that lie in one place, by an index of each group."""
+
+    def cut(batch: pa.RecordBatch):
+        rows: list[tuple] = []
+        for text, wants in zip(batch.column(1), batch.column(2).to_pylist()):
+            data = text.as_buffer().to_pybytes()
+            rows += [(w["v"], w["sid"], data[w["first"] : w["last"] + length], w["many"]) for w in wants]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["v", "sid", "content", "many"])
 
     def flush(rows: list):
         sids, los, his = [], [], []
@@ -205,9 +227,8 @@ def _indexed(groups: DataFrame, length: int, parts: int) -> DataFrame:
             starts.append(at)
             at += len(content) + 1
         found = repeated_starts(data, length)
-        for start, (sid, content, n) in zip(starts, rows):
-            last = len(content) - length
-            for lo, hi in [(0, last)] if n > 1 else spans_of(found[start : start + last + 1]):
+        for start, (sid, content, many) in zip(starts, rows):
+            for lo, hi in [] if many else spans_of(found[start : start + len(content) - length + 1]):
                 sids.append(sid)
                 los.append(lo)
                 his.append(hi)
@@ -216,98 +237,143 @@ def _indexed(groups: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches):
         rows, held, current = [], 0, None
         for batch in batches:
-            for v, sid, content, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for v, sid, content, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if v != current and held > INDEX_BYTES:
                     yield flush(rows)
                     rows, held = [], 0
                 current = v
-                rows.append((sid, content, n))
+                rows.append((sid, content, many))
                 held += len(content)
         if rows:
             yield flush(rows)
 
-    dealt = groups.select("v", "sid", "content", "n").repartition(parts, "v").sortWithinPartitions("v")
-    return dealt.mapInArrow(run, "sid binary, lo int, hi int")
+    cuts = map_arrow(_wanted(texts, contents), cut, "v long, sid binary, content binary, many boolean")
+    return cuts.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(run, "sid binary, lo int, hi int")
 
 
-def _single(groups: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for one task, dealt by single strings.
+def _finer(texts: DataFrame, contents: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs inside contents by longer grams: parent (the content), off (place there), and the columns of runs, with many.
 
-    What meets in such a group is one string with its number of copies, added up before the shuffle: an
-    interval of that size needs no further extension.
+    Strings that are equal stay together: a finer group is part of a group.
     """
 
     def run(batch: pa.RecordBatch):
-        for sid, content, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            count = len(content) - length + 1
-            strings = [xxhash.xxh3_128_digest(content[i : i + length]) for i in range(count)]
-            yield pa.RecordBatch.from_arrays([pa.array([sid] * count, pa.binary()), pa.array(np.arange(count, dtype=np.int32)), pa.array(strings, pa.binary()), pa.array([n] * count, pa.int64())], ["sid", "at", "string", "n"])
-
-    each = map_arrow(groups.select("sid", "content", "n"), run, "sid binary, at int, string binary, n long")
-    often = each.groupBy("string").agg(F.sum("n").alias("total")).filter("total > 1").select("string")
-    found = each.join(often, "string").groupBy("sid").agg(F.array_sort(F.collect_list("at")).alias("at"))
-
-    def joined(batch: pa.RecordBatch):
-        sids, los, his = [], [], []
-        for sid, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at = np.array(at)
-            cut = np.flatnonzero(np.diff(at) > 1)
-            for lo, hi in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist()):
-                sids.append(sid)
-                los.append(lo)
-                his.append(hi)
-        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(los, pa.int32()), pa.array(his, pa.int32())], ["sid", "lo", "hi"])
-
-    return map_arrow(found, joined, "sid binary, lo int, hi int")
-
-
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per distinct text with repeats: tid, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
-
-    A text is known by half the SHA-256 of its bytes (tid). All bytes that a repeated string of `length` bytes
-    covers go; strings are judged on the input. Texts that occur twice are repeats as a whole.
+        for tid, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            data, plain = _array(text), text.as_buffer().to_pybytes()
+            for w in wants:
+                part = slice(w["first"], w["last"] + length)
+                value, first, last, again = runs_of(data[part], length, gram)
+                value = mix64(value.view(np.uint64) ^ np.uint64(w["v"] % (1 << 64))).view(np.int64)
+                sids = _digests(plain[part], first, last, length)
+                n = len(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w["sid"]] * n, pa.binary()), pa.array(first.astype(np.int32)), pa.array([tid] * n, pa.binary()), pa.array(value), pa.array(sids, pa.binary())]
+                    + [pa.array((x + w["first"]).astype(np.int32)) for x in (first, last)]
+                    + [pa.array(again), pa.array([w["many"]] * n, pa.bool_())],
+                    ["parent", "off", "tid", "v", "sid", "first", "last", "again", "many"],
+                )
+
+    return map_arrow(_wanted(texts, contents), run, f"parent binary, off int, {RUNS}, many boolean")
+
+
+def _found(texts: DataFrame, contents: DataFrame, length: int, parts: int, level: int = 0) -> DataFrame:
+    """(sid, lo, hi): the runs of repeated strings in each content.
+
+    A content of several places repeats as a whole. Others are indexed with their group; groups over
+    GROUP_BYTES are dealt anew by the grams of the next level, until they fit.
+    """
+    grams = levels(length)
+    contents = materialize(contents, "contents")
+    sizes = contents.groupBy("v").agg(F.count("*").alias("m"), F.bool_and("many").alias("whole"), F.sum(F.col("last") - F.col("first") + length).alias("bytes"))
+    sizes = sizes.filter("not whole").select("v", "m", "bytes")
+    groups = materialize(contents.join(sizes, "v").filter("m > 1 or again"), "groups")
+    whole = contents.filter("many").select("sid", F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
+    last = level + 1 == len(grams)
+    small = groups if last else groups.filter(F.col("bytes") <= GROUP_BYTES)
+    found = whole.union(_indexed(texts, small, length, parts))
+    large = groups.filter(F.col("bytes") > GROUP_BYTES)
+    if last or large.isEmpty():
+        return found
+    finer = materialize(_finer(texts, large, length, grams[level + 1]), "finer")
+    often = finer.groupBy("v").agg(F.min(F.xxhash64("parent", "off")).alias("lo"), F.max(F.xxhash64("parent", "off")).alias("hi"), F.max("again").alias("again"), F.max("many").alias("many"))
+    kept = materialize(finer.join(often.filter("lo <> hi or again or many").select("v"), "v", "left_semi"), "kept")
+    discard(finer)
+    below = _found(texts, _contents(kept, F.xxhash64("parent", "off")), length, parts, level + 1)
+    place = [(F.col("off") + F.col(x)).alias(x) for x in ("lo", "hi")]
+    return found.union(kept.select("parent", "off", "sid").join(below, "sid").select(F.col("parent").alias("sid"), *place))
+
+
+def _keyed(docs: DataFrame, length: int) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length).withColumn("tid", text_key())
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """tid, spans (a, b: bytes, end exclusive, not overlapping, in order) of every distinct text with repeats.
+
+    A text is known by half the SHA-256 of its bytes (tid). Strings are judged on the input. Texts that occur
+    twice are repeats as a whole: one span. Null texts, and those of fewer than `length` bytes, have no string.
     """
     spark = docs.sparkSession
     bound_batches(spark, 500)
     parts = max(partitions(spark), 12)
-    texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length).withColumn("tid", text_key())
-    # copies of a text give equal rows, so a hash of the place tells whether a group has two places
+    texts = _keyed(docs, length)
     runs = materialize(_runs(texts, length), "runs")
+    # copies of a text give equal rows, so a hash of the place tells whether a group has two places
     place = F.xxhash64("tid", "first")
     often = runs.groupBy("v").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("again").alias("again")).filter("lo <> hi or again").select("v")
-    wants = runs.join(often, "v", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("v", "first", "last", "again")).alias("wants"))
-    once = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    segments = materialize(_segments(once.join(wants, "tid"), length), "segments")
+    kept = materialize(runs.join(often, "v", "left_semi"), "kept")
     discard(runs)
-    contents = segments.groupBy("v", "sid").agg(F.first("content").alias("content"), F.count("*").alias("n"), F.max("again").alias("again"))
-    sizes = segments.groupBy("v", "sid").agg(F.first(F.octet_length("content")).alias("bytes")).groupBy("v").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
-    groups = contents.join(sizes, "v")
-    alone = groups.filter("m = 1 and n > 1").select("sid", F.lit(0).alias("lo"), (F.octet_length("content") - length).alias("hi"))
-    indexed = _indexed(groups.filter(f"(m > 1 or (n = 1 and again)) and bytes <= {GROUP_BYTES}"), length, parts)
-    single = _single(groups.filter(f"(m > 1 or (n = 1 and again)) and bytes > {GROUP_BYTES}"), length)
-    found = alone.union(indexed).union(single)
-    spans = segments.select("sid", "tid", "first").join(found, "sid").select("tid", F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b")).alias("span"))
-    spans = spans.groupBy("tid").agg(F.collect_list("span").alias("spans"))
+    found = _found(texts, _contents(kept, place), length, parts)
+    spans = kept.select("sid", "tid", "first").join(found, "sid").select("tid", F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b")).alias("span"))
+    spans = spans.groupBy("tid").agg(F.collect_set("span").alias("spans"))
+    twice = texts.groupBy("tid").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).alias("b")).filter("n > 1").select("tid", F.array(F.struct(F.lit(0).alias("a"), "b")).alias("whole"))
+    both = spans.join(twice, "tid", "full").select("tid", F.coalesce("whole", F.array_sort("spans")).alias("spans"))
+
+    def merged(batch: pa.RecordBatch):
+        rows = []
+        for spans in batch.column(1).to_pylist():
+            out: list[dict] = []
+            for s in spans:
+                if out and s["a"] <= out[-1]["b"]:
+                    out[-1]["b"] = max(out[-1]["b"], s["b"])
+                else:
+                    out.append(s)
+            rows.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, batch.column(1).type)], ["tid", "spans"])
+
+    out = materialize(map_arrow(both, merged, "tid binary, spans array<struct<a:int,b:int>>"), "spans")
+    discard(kept)
+    return out
+
+
+def without(data: bytes, spans: list[dict]) -> bytes:
+    """The bytes outside of the spans."""
+    return b"".join(data[a:b] for a, b in zip([0, *(s["b"] for s in spans)], [*(s["a"] for s in spans), len(data)]))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per distinct text with repeats: tid, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
+
+    All bytes that a repeated string of `length` bytes covers go, in the spans of repeated_spans.
+    """
+    spans = repeated_spans(docs, length)
+    whole = "spans[0].a = 0 and spans[0].b = n"
+    texts = marked(_keyed(docs, length), "tid", key_bits(spans, "tid")).withColumn("n", F.octet_length("text"))
+    # a text that goes as a whole is not needed; of the others, copies have gone, so each is one row
+    part = texts.join(spans, "tid").filter(f"not ({whole})").select("tid", F.col("text").cast("binary").alias("text"), "spans")
+    gone = texts.select("tid", "n").join(spans, "tid").filter(whole).groupBy("tid").agg(F.min("n").cast("long").alias("n_removed"))
 
     def cut(batch: pa.RecordBatch):
-        rows: list[list] = [[], [], [], [], []]
-        for tid, text, copies, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            data = _array(text)
-            edges = np.zeros(len(data) + 1, np.int64)
-            if copies > 1:
-                spans = [{"a": 0, "b": len(data)}]
-            np.add.at(edges, [s["a"] for s in spans], 1)
-            np.add.at(edges, [s["b"] for s in spans], -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            kept = data[~gone].tobytes()
-            for column, x in zip(rows, (tid, int(gone.sum()), len(spans_of(gone)), kept, hashlib.sha256(kept).hexdigest())):
-                column.append(x)
+        rows = []
+        for tid, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            kept = without(text.as_buffer().to_pybytes(), spans)
+            rows.append((tid, sum(s["b"] - s["a"] for s in spans), len(spans), kept, hashlib.sha256(kept).hexdigest()))
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["tid", "n_removed", "n_spans", "kept", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["tid", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    touched = once.join(spans, "tid", "left").filter("copies > 1 or spans is not null")
-    touched = touched.select("tid", F.col("text").cast("binary"), "copies", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")))
-    return map_arrow(touched, cut, "tid binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    rest = map_arrow(part, cut, "tid binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    nothing = [F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")]
+    return rest.union(gone.select("tid", "n_removed", *nothing))
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -217,6 +217,33 @@ def test_repeats_equal_brute_force(docs, length, limit, monkeypatch):
     assert got == brute_repeats(texts_of(docs), length)
 
 
+def test_stage_takes_out_planted_passages(spark):
+    """Passages of 51 words that documents share go; documents of their own words stay as they are, as do null and empty ones."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passages = [own(51) for _ in range(4)]
+    rows = [(k, f"{own(60)} {passages[k % 4]} {own(40)}" if k < 40 else own(150), 1, "t") for k in range(80)] + [(90, None, None, None), (91, "", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, k_spans string")
+    out = {r.doc_id: r for r in stages.without_repeats(docs).collect()}
+    assert len(out) == len(rows) and out[90].text is None and out[91].text == ""
+    for k, text, _, _ in rows[:40]:
+        assert passages[k % 4][5:-5] not in out[k].text and len(out[k].text) >= len(text) - len(passages[k % 4]) - 8 and out[k].n_chars == len(out[k].text)
+    assert all(out[k].text == text for k, text, _, _ in rows[40:])
+
+
+def test_a_large_group_is_dealt_by_longer_grams(spark, monkeypatch):
+    """A line that all texts hold, once shorter and once longer than the strings, and one text of a single letter."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 500)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    short, long = own(90), own(150)
+    texts = [(k, own(rng.randint(0, 200)) + (short if k % 2 else long) + own(rng.randint(0, 200))) for k in range(30)] + [(40, "z" * 3000), (41, "z" * 10_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.removal_report(docs, 100).collect())
+    assert got == brute_repeats(texts, 100)
+    assert repeats.levels(400) == [16, 64, 256, 384, 400] and repeats.levels(60) == [16, 44, 60]
+
+
 def test_repeats_of_an_empty_table(empty):
     assert repeats.removal_report(empty).count() == 0
 
@@ -455,7 +482,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for (d, n, c), _ in brute_components(by["near_dedup"][0], 5, 80).items():
         groups.setdefault(c, []).append(d)
     assert sorted(d for d, _ in by["near_dedup"][1]) == sorted(groups)
-    want = {d: n - gone for d, n, gone, _, _ in brute_repeats(by["suffix_dedup"][0], 400)}
+    want = {d: n - gone for d, n, gone, _, _ in brute_repeats(by["suffix_dedup"][0], stages.PASSAGE_BYTES)}
     assert {d: len(t.encode()) for d, t in by["suffix_dedup"][1]} == {d: n for d, n in want.items() if n}
     assert {d for d, _ in by["secret_scan"][1]} == {d for d, _ in by["secret_scan"][0]} and not any(brute_secrets(t) for _, t in by["secret_scan"][1])
     assert {r.doc_id for r in by["packing"][1]} == {d for d, _ in by["packing"][0]}
