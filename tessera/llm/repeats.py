@@ -15,9 +15,12 @@ from tessera.llm.common import bound_batches, discard, key_bits, map_arrow, mark
 #: Bytes of a repeated string at least.
 LENGTH = 400
 #: Bytes of the grams whose least hash deals a string to its group.
-GRAM = 16
-#: Groups of more bytes than this are dealt anew by longer grams; a worker holds a group at a time.
+GRAM = 32
+#: Groups of more bytes than this are indexed in parts, and what is left of them is dealt anew by longer grams; a worker
+#: holds a group or part at a time.
 GROUP_BYTES = 1 << 20
+#: Strings of a run at most.
+RUN = 1 << 18
 #: How much longer the grams of the next level are.
 LONGER = 4
 #: Bytes of groups that are indexed together.
@@ -52,13 +55,14 @@ def levels(length: int) -> list[int]:
 
     At the last level a gram is the whole string, so a group there is one string and its places.
     """
-    found = [GRAM]
-    while found[-1] * LONGER <= length - GRAM:
+    first = min(GRAM, max(8, length // 2))
+    found = [first]
+    while found[-1] * LONGER <= length - first:
         found.append(found[-1] * LONGER)
-    return [*found, *([length - GRAM] if found[-1] < length - GRAM else []), *([length] if length > GRAM else [])]
+    return [*found, *([length - first] if found[-1] < length - first else []), length]
 
 
-def runs_of(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings of `length` bytes that share their least gram hash: hash, first, last, whether it recurs.
 
     Equal strings have equal hashes, so they meet in the group of that hash, wherever they start.
@@ -69,7 +73,9 @@ def runs_of(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
         return h.view(np.int64), at, at, np.zeros(len(h), bool)
     wide = length - gram + 1
     least = sliding_least(h, wide)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    starts = np.concatenate(([True], least[1:] != least[:-1]))
+    starts[::RUN] = True
+    first = np.flatnonzero(starts)
     last = np.concatenate((first[1:] - 1, [len(least) - 1]))
     value = least[first]
     again = np.array([np.count_nonzero(h[a : b + wide] == v) > 1 for a, b, v in zip(first.tolist(), last.tolist(), value)])
@@ -104,8 +110,8 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
         order = np.argsort(rank)
 
 
-def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
-    """Whether the string of `length` bytes at each position starts elsewhere in data too.
+def repeated_starts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the string of `length` bytes at each position starts elsewhere in data too; one such position for each string.
 
     Beller, Gog, Ohlebusch and Schnattinger's way from a Burrows-Wheeler transform to common prefixes:
     intervals of suffixes with a common prefix of l bytes are extended backward by each byte before
@@ -115,7 +121,7 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(data)
     if n < length:
-        return np.zeros(n, bool)
+        return np.zeros(n, bool), np.zeros(n, bool)
     order = suffix_order(data, length)
     bwt = data[order - 1]
     stable = np.argsort(bwt, kind="stable")
@@ -151,8 +157,10 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     found = np.zeros(n, bool)
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
-    found[n - length + 1 :] = False
-    return found
+    one = np.zeros(n, bool)
+    one[order[:-1][same & ~np.concatenate(([False], same[:-1]))]] = True
+    found[n - length + 1 :] = one[n - length + 1 :] = False
+    return found, one
 
 
 def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -175,13 +183,15 @@ def _digests(data: bytes, first: np.ndarray, last: np.ndarray, length: int) -> l
 def _runs(texts: DataFrame, length: int) -> DataFrame:
     """The runs of every text: tid, v (least gram hash), sid (hash of the run's bytes), first, last, again."""
 
+    gram = levels(length)[0]
+
     def run(batch: pa.RecordBatch):
         seen: set = set()
         tids, sids, columns = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if key not in seen:
                 seen.add(key)
-                value, first, last, again = runs_of(_array(text), length)
+                value, first, last, again = runs_of(_array(text), length, gram)
                 columns.append((value, first.astype(np.int32), last.astype(np.int32), again))
                 sids += _digests(text.as_buffer().to_pybytes(), first, last, length)
                 tids += [key] * len(value)
@@ -200,59 +210,72 @@ def _contents(runs: DataFrame, place) -> DataFrame:
     return runs.groupBy("v", "sid").agg(several.alias("many"), F.max("again").alias("again"), F.min(F.struct("tid", "first", "last")).alias("at")).select("v", "sid", "many", "again", "at.*")
 
 
-def _wanted(texts: DataFrame, contents: DataFrame) -> DataFrame:
-    """One row per text that contents are taken from: tid, text, wants. Other texts are not moved."""
-    wants = contents.groupBy("tid").agg(F.collect_list(F.struct("v", "sid", "first", "last", "many")).alias("wants"))
-    once = marked(texts, "tid", key_bits(contents.select("tid"), "tid")).groupBy("tid").agg(F.first("text").alias("text"))
+def _wanted(texts: DataFrame, wants: DataFrame) -> DataFrame:
+    """One row per text that something is taken from: tid, text, wants. Other texts are not moved."""
+    own = [c for c in wants.columns if c != "tid"]
+    once = marked(texts, "tid", key_bits(wants.select("tid"), "tid")).groupBy("tid").agg(F.first("text").alias("text"))
+    wants = wants.groupBy("tid").agg(F.collect_list(F.struct(*own)).alias("wants"))
     return once.join(wants, "tid").select("tid", F.col("text").cast("binary").alias("text"), "wants")
 
 
-def _indexed(texts: DataFrame, contents: DataFrame, length: int, parts: int) -> DataFrame:
-    """(sid, lo, hi): runs of repeated strings in contents that lie in one place, by an index of each group."""
+def _indexed(texts: DataFrame, groups: DataFrame, length: int, parts: int) -> DataFrame:
+    """(sid, lo, hi, kind): runs of strings in the contents of groups (with `blocks`), by an index of each group or block of it.
+
+    Kind 0: repeated strings of a content that has one place. Of groups of several blocks also kind 1, strings
+    that their block has once, and kind 2, one of each string that is repeated: these have to meet other blocks.
+    """
 
     def cut(batch: pa.RecordBatch):
         rows: list[tuple] = []
         for text, wants in zip(batch.column(1), batch.column(2).to_pylist()):
             data = text.as_buffer().to_pybytes()
-            rows += [(w["v"], w["sid"], data[w["first"] : w["last"] + length], w["many"]) for w in wants]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["v", "sid", "content", "many"])
+            rows += [(w["v"], w["block"], w["sid"], data[w["first"] : w["last"] + length], w["many"], w["parted"]) for w in wants]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["v", "block", "sid", "content", "many", "parted"])
 
     def flush(rows: list):
-        sids, los, his = [], [], []
-        data = np.full(sum(len(c) + 1 for _, c, _ in rows), END, np.uint8)
+        out: list[tuple] = []
+        data = np.full(sum(len(c) + 1 for _, c, *_ in rows), END, np.uint8)
         at, starts = 0, []
-        for _, content, _ in rows:
+        for _, content, *_ in rows:
             data[at : at + len(content)] = np.frombuffer(content, np.uint8)
             starts.append(at)
             at += len(content) + 1
-        found = repeated_starts(data, length)
-        for start, (sid, content, many) in zip(starts, rows):
-            for lo, hi in [] if many else spans_of(found[start : start + len(content) - length + 1]):
-                sids.append(sid)
-                los.append(lo)
-                his.append(hi)
-        return pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(los, pa.int32()), pa.array(his, pa.int32())], ["sid", "lo", "hi"])
+        found, one = repeated_starts(data, length)
+        for start, (sid, content, many, parted) in zip(starts, rows):
+            part = slice(start, start + len(content) - length + 1)
+            if not many:
+                out += [(sid, lo, hi, 0) for lo, hi in spans_of(found[part])]
+            if parted:
+                again = (~found[part] | one[part]) if many else one[part]
+                out += [(sid, lo, hi, 2) for lo, hi in spans_of(again)]
+                if not many:
+                    out += [(sid, lo, hi, 1) for lo, hi in spans_of(~found[part])]
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["sid", "lo", "hi", "kind"])
 
     def run(batches):
         rows, held, current = [], 0, None
         for batch in batches:
-            for v, sid, content, many in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if v != current and held > INDEX_BYTES:
-                    yield flush(rows)
+            for v, block, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                # a block is indexed by itself, so that what it has once is known
+                if (v, block) != current and (held > INDEX_BYTES or row[3] or rows and rows[-1][3]):
+                    if rows:
+                        yield flush(rows)
                     rows, held = [], 0
-                current = v
-                rows.append((sid, content, many))
-                held += len(content)
+                current = (v, block)
+                rows.append(row)
+                held += len(row[1])
         if rows:
             yield flush(rows)
 
-    cuts = map_arrow(_wanted(texts, contents), cut, "v long, sid binary, content binary, many boolean")
-    return cuts.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(run, "sid binary, lo int, hi int")
+    wants = groups.select("v", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "tid", "first", "last", "many", (F.col("blocks") > 1).alias("parted"))
+    cuts = map_arrow(_wanted(texts, wants), cut, "v long, block int, sid binary, content binary, many boolean, parted boolean")
+    return cuts.repartition(parts, "v", "block").sortWithinPartitions("v", "block").mapInArrow(run, "sid binary, lo int, hi int, kind int")
 
 
-def _finer(texts: DataFrame, contents: DataFrame, length: int, gram: int) -> DataFrame:
-    """The runs inside contents by longer grams: parent (the content), off (place there), and the columns of runs, with many.
+def _finer(texts: DataFrame, wants: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs by longer grams of wanted strings: parent (the content), off (place there), and the columns of runs, with many.
 
     Strings that are equal stay together: a finer group is part of a group.
     """
@@ -260,47 +283,58 @@ def _finer(texts: DataFrame, contents: DataFrame, length: int, gram: int) -> Dat
     def run(batch: pa.RecordBatch):
         for tid, text, wants in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             data, plain = _array(text), text.as_buffer().to_pybytes()
+            columns, parents, sids, many = [], [], [], []
             for w in wants:
                 part = slice(w["first"], w["last"] + length)
                 value, first, last, again = runs_of(data[part], length, gram)
                 value = mix64(value.view(np.uint64) ^ np.uint64(w["v"] % (1 << 64))).view(np.int64)
-                sids = _digests(plain[part], first, last, length)
-                n = len(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["sid"]] * n, pa.binary()), pa.array(first.astype(np.int32)), pa.array([tid] * n, pa.binary()), pa.array(value), pa.array(sids, pa.binary())]
-                    + [pa.array((x + w["first"]).astype(np.int32)) for x in (first, last)]
-                    + [pa.array(again), pa.array([w["many"]] * n, pa.bool_())],
-                    ["parent", "off", "tid", "v", "sid", "first", "last", "again", "many"],
-                )
+                columns.append((first + w["off"], value, first + w["first"], last + w["first"], again))
+                sids += _digests(plain[part], first, last, length)
+                parents += [w["sid"]] * len(value)
+                many += [w["many"]] * len(value)
+            off, value, first, last, again = (np.concatenate(c) for c in zip(*columns))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parents, pa.binary()), pa.array(off.astype(np.int32)), pa.array([tid] * len(off), pa.binary()), pa.array(value), pa.array(sids, pa.binary())]
+                + [*(pa.array(x.astype(np.int32)) for x in (first, last)), pa.array(again), pa.array(many, pa.bool_())],
+                ["parent", "off", "tid", "v", "sid", "first", "last", "again", "many"],
+            )
 
-    return map_arrow(_wanted(texts, contents), run, f"parent binary, off int, {RUNS}, many boolean")
+    return map_arrow(_wanted(texts, wants), run, f"parent binary, off int, {RUNS}, many boolean")
 
 
-def _found(texts: DataFrame, contents: DataFrame, length: int, parts: int, level: int = 0) -> DataFrame:
+def _found(texts: DataFrame, contents: DataFrame, length: int, parts: int, used: list[DataFrame], level: int = 0) -> DataFrame:
     """(sid, lo, hi): the runs of repeated strings in each content.
 
-    A content of several places repeats as a whole. Others are indexed with their group; groups over
-    GROUP_BYTES are dealt anew by the grams of the next level, until they fit.
+    A content of several places repeats as a whole. Others are indexed with their group. Groups over
+    GROUP_BYTES are indexed in blocks; strings that a block has once, and one of each other string, are then
+    dealt anew by the grams of the next level. At the last level a group is one string. `used` takes the tables
+    that the result is read from.
     """
     grams = levels(length)
     contents = materialize(contents, "contents")
     sizes = contents.groupBy("v").agg(F.count("*").alias("m"), F.bool_and("many").alias("whole"), F.sum(F.col("last") - F.col("first") + length).alias("bytes"))
-    sizes = sizes.filter("not whole").select("v", "m", "bytes")
-    groups = materialize(contents.join(sizes, "v").filter("m > 1 or again"), "groups")
+    blocks = F.least("m", F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int") if level + 1 < len(grams) else F.lit(1)
+    sizes = sizes.filter("not whole").select("v", "m", blocks.alias("blocks"))
+    groups = contents.join(sizes, "v").filter("m > 1 or again")
     whole = contents.filter("many").select("sid", F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
-    last = level + 1 == len(grams)
-    small = groups if last else groups.filter(F.col("bytes") <= GROUP_BYTES)
-    found = whole.union(_indexed(texts, small, length, parts))
-    large = groups.filter(F.col("bytes") > GROUP_BYTES)
-    if last or large.isEmpty():
+    indexed = materialize(_indexed(texts, groups, length, parts), "indexed")
+    used += [contents, indexed]
+    found = whole.union(indexed.filter("kind = 0").select("sid", "lo", "hi"))
+    left = indexed.filter("kind > 0")
+    if left.isEmpty():
         return found
-    finer = materialize(_finer(texts, large, length, grams[level + 1]), "finer")
-    often = finer.groupBy("v").agg(F.min(F.xxhash64("parent", "off")).alias("lo"), F.max(F.xxhash64("parent", "off")).alias("hi"), F.max("again").alias("again"), F.max("many").alias("many"))
-    kept = materialize(finer.join(often.filter("lo <> hi or again or many").select("v"), "v", "left_semi"), "kept")
+    places = [(F.col("first") + F.col(x)).alias(y) for x, y in (("lo", "first"), ("hi", "last"))]
+    wants = left.join(contents.drop("many", "last"), "sid").select("v", "sid", "tid", F.col("lo").alias("off"), *places, (F.col("kind") == 2).alias("many"))
+    finer = materialize(_finer(texts, wants, length, grams[level + 1]), "finer")
+    place = F.xxhash64("parent", "off")
+    often = finer.groupBy("v").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.max("again").alias("again"), F.min("many").alias("known"))
+    # groups of known strings alone have nothing to tell
+    kept = materialize(finer.join(often.filter("(least <> most or again) and not known").select("v"), "v", "left_semi"), "kept")
     discard(finer)
-    below = _found(texts, _contents(kept, F.xxhash64("parent", "off")), length, parts, level + 1)
-    place = [(F.col("off") + F.col(x)).alias(x) for x in ("lo", "hi")]
-    return found.union(kept.select("parent", "off", "sid").join(below, "sid").select(F.col("parent").alias("sid"), *place))
+    used.append(kept)
+    below = _found(texts, _contents(kept, place), length, parts, used, level + 1)
+    at = [(F.col("off") + F.col(x)).alias(x) for x in ("lo", "hi")]
+    return found.union(kept.filter("not many").select("parent", "off", "sid").join(below, "sid").select(F.col("parent").alias("sid"), *at))
 
 
 def _keyed(docs: DataFrame, length: int) -> DataFrame:
@@ -323,7 +357,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = runs.groupBy("v").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("again").alias("again")).filter("lo <> hi or again").select("v")
     kept = materialize(runs.join(often, "v", "left_semi"), "kept")
     discard(runs)
-    found = _found(texts, _contents(kept, place), length, parts)
+    used = [kept]
+    found = _found(texts, _contents(kept, place), length, parts, used)
     spans = kept.select("sid", "tid", "first").join(found, "sid").select("tid", F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + length).alias("b")).alias("span"))
     spans = spans.groupBy("tid").agg(F.collect_set("span").alias("spans"))
     twice = texts.groupBy("tid").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).alias("b")).filter("n > 1").select("tid", F.array(F.struct(F.lit(0).alias("a"), "b")).alias("whole"))
@@ -342,7 +377,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, batch.column(1).type)], ["tid", "spans"])
 
     out = materialize(map_arrow(both, merged, "tid binary, spans array<struct<a:int,b:int>>"), "spans")
-    discard(kept)
+    discard(*used)
     return out
 
 
