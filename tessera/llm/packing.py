@@ -1,7 +1,8 @@
-"""Best-fit packing of documents into token sequences of bounded length."""
+"""Packing of documents into token sequences of bounded length, by swap-based local search."""
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 
@@ -16,10 +17,9 @@ from tessera.llm.tokens import WordTokenizer, vocabulary
 SEQUENCE_TOKENS = 2048
 #: Bytes of texts that a worker tokenizes at a time.
 TEXT_BYTES = 4 << 20
+#: Classes of underfull bins up to which sums of two lengths are indexed all along; beyond, only when nothing simpler helps.
+PAIRED_CLASSES = 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Steps of the local search at most. A step moves whole classes of equal bins, of which there are
-#: no more than a few for each length, whatever the number of documents.
-SEARCH_STEPS = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
@@ -46,127 +46,172 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE_TOKENS) ->
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES, TEXT_BYTES)
 
 
-class Bins:
-    """Bins in classes: a class is a sorted tuple of lengths, with the number of bins that hold just these."""
+Pattern = tuple[int, ...]  # the lengths in a bin, longest first
 
-    def __init__(self, capacity: int):
+
+def apart(histogram: dict[int, int]) -> Counter:
+    """Bins by pattern with their numbers, as a start: each document in a bin of its own."""
+    return Counter({(length,): n for length, n in histogram.items()})
+
+
+class Search:
+    """Exchanges between underfull bins that raise the sum of squared fills, until bins empty.
+
+    Bins with the same lengths are one class with a number, and an exchange is made by as many bins of two
+    classes as there are, so the work follows the variety of lengths and not the documents. The fullest class
+    takes from the emptiest that can give: a document for none (a move), one for one, two for one or one for
+    two; the largest gain of the first kind that has one. A class that
+    can't gain waits until nothing else can, and is then tried with all givers again.
+    """
+
+    def __init__(self, bins: Counter, capacity: int):
         self.capacity = capacity
-        self.count: Counter[tuple[int, ...]] = Counter()
+        self.full: Counter[Pattern] = Counter()
+        self.under: Counter[Pattern] = Counter()
+        #: Underfull classes by a length, and by the sum of two lengths, in them.
+        self.one: dict[int, set[Pattern]] = {}
+        self.two: dict[int, set[Pattern]] | None = None
+        #: Which lengths and sums there are.
+        self.lengths, self.sums = bytearray(capacity + 1), bytearray(capacity + 1)
+        self.exchanges: Counter[str] = Counter()
+        self.fresh: list[tuple[int, Pattern]] = []
+        for pattern, n in bins.items():
+            self.add(pattern, n)
+
+    def total(self) -> int:
+        return sum(self.full.values()) + sum(self.under.values())
+
+    def _index(self, pattern: Pattern, there: bool) -> None:
+        kinds = [(self.one, self.lengths, dict.fromkeys(pattern))]
+        if self.two is not None:
+            kinds.append((self.two, self.sums, self._sums(pattern)))
+        for table, marks, keys in kinds:
+            for k in keys:
+                if there:
+                    table.setdefault(k, set()).add(pattern)
+                    marks[k] = 1
+                else:
+                    table[k].discard(pattern)
+                    if not table[k]:
+                        del table[k]
+                        marks[k] = 0
+
+    def _pair(self) -> None:
+        """Index the sums of two lengths from now on."""
+        self.two = {}
+        for p in self.under:
+            for k in self._sums(p):
+                self.two.setdefault(k, set()).add(p)
+                self.sums[k] = 1
+
+    @staticmethod
+    def _sums(pattern: Pattern) -> dict[int, tuple[int, int]]:
+        """A pair of lengths for each sum of two documents in a bin."""
+        each = Counter(pattern)
+        lengths = list(each)
+        return {x + y: (x, y) for i, x in enumerate(lengths) for y in lengths[i:] if x != y or each[x] > 1}
 
     def add(self, pattern, n: int) -> None:
         pattern = tuple(sorted(pattern, reverse=True))
-        if n and pattern:
-            self.count[pattern] += n
-            if not self.count[pattern]:
-                del self.count[pattern]
-
-    def total(self) -> int:
-        return sum(self.count.values())
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
-    """Best-fit decreasing over lengths with multiplicities."""
-    bins = Bins(capacity)
-    open_by_free: dict[int, Counter] = {}
-    for length in sorted(histogram, reverse=True):
-        left = histogram[length]
-        while left:
-            free = min((f for f in open_by_free if f >= length), default=None)
-            if free is None:
-                pattern, m = (), -(-left // (capacity // length))
-                free = capacity
-            else:
-                pattern, m = next(iter(open_by_free[free].items()))
-            fits = free // length
-            full = min(m, left // fits)
-            rest = 0 if full == m else left - full * fits
-            used = full + bool(rest)
-            if pattern:
-                open_by_free[free][pattern] -= used
-                if not open_by_free[free][pattern]:
-                    del open_by_free[free][pattern]
-                if not open_by_free[free]:
-                    del open_by_free[free]
-            for k, n in ((fits, full), (rest, int(bool(rest)))):
-                if n:
-                    open_by_free.setdefault(free - k * length, Counter())[pattern + (length,) * k] += n
-            left -= full * fits + rest
-    for found in open_by_free.values():
-        for pattern, n in found.items():
-            bins.add(pattern, n)
-    return bins
-
-
-def _gain(emptier: tuple[int, ...], fuller: tuple[int, ...], capacity: int):
-    """What to give and take so that the fuller bin grows the most: (given, taken) or None.
-
-    Tries a move (one for none), one for one, two for one and one for two.
-    """
-    free = capacity - sum(fuller)
-    best, change = 0, None
-    out = [(x,) for x in dict.fromkeys(emptier)]
-    pairs_out = list(dict.fromkeys((a, b) for i, a in enumerate(emptier[:12]) for b in emptier[i + 1 : 12]))
-    back = [(y,) for y in dict.fromkeys(fuller)]
-    pairs_back = list(dict.fromkeys((a, b) for i, a in enumerate(fuller[:12]) for b in fuller[i + 1 : 12]))
-    for given, taken in (
-        *((g, ()) for g in out),
-        *((g, t) for g in out for t in back),
-        *((g, t) for g in pairs_out for t in back),
-        *((g, t) for g in out for t in pairs_back),
-    ):
-        grows = sum(given) - sum(taken)
-        if best < grows <= free:
-            best, change = grows, (given, taken)
-    return change
-
-
-def local_search(bins: Bins, steps: int = SEARCH_STEPS) -> Bins:
-    """Exchange documents between underfull bins, so that the sum of squared fills grows, until bins empty.
-
-    Ends at the lower bound (all ids over the capacity), when no exchange helps, or after `steps`.
-    """
-    capacity = bins.capacity
-    tokens = sum(sum(p) * n for p, n in bins.count.items())
-    least = -(-tokens // capacity)
-    for _ in range(steps):
-        if bins.total() <= least:
-            break
-        under = sorted((p for p in bins.count if sum(p) < capacity), key=lambda p: (sum(p), p))
-        done = False
-        for emptier in under[:8]:
-            for fuller in reversed(under):
-                if sum(fuller) < sum(emptier) or (fuller == emptier and bins.count[fuller] < 2):
-                    continue
-                change = _gain(emptier, fuller, capacity)
-                if not change:
-                    continue
-                given, taken = change
-                n = bins.count[emptier] // 2 if fuller == emptier else min(bins.count[emptier], bins.count[fuller])
-                a, b = Counter(emptier), Counter(fuller)
-                a.subtract(given)
-                a.update(taken)
-                b.subtract(taken)
-                b.update(given)
-                bins.add(emptier, -n)
-                bins.add(fuller, -n)
-                bins.add(a.elements(), n)
-                bins.add(b.elements(), n)
-                done = True
-                break
-            if done:
-                break
-        if not done:
-            break
-    return bins
-
-
-def slots(bins: Bins) -> dict[int, tuple[np.ndarray, list]]:
+        if not pattern or not n:
+            return
+        table = self.full if sum(pattern) == self.capacity else self.under
+        if table is self.under and n > 0 and not table[pattern]:
+            self._index(pattern, True)
+            heapq.heappush(self.fresh, (-sum(pattern), pattern))
+        table[pattern] += n
+        if not table[pattern]:
+            del table[pattern]
+            if table is self.under:
+                self._index(pattern, False)
+
+    def _giver(self, classes: set[Pattern], taker: Pattern) -> Pattern | None:
+        """The emptiest class that isn't fuller than the taker."""
+        most = sum(taker)
+        return min((p for p in classes if sum(p) <= most and (p != taker or self.under[p] > 1)), key=lambda p: (sum(p), p), default=None)
+
+    def _change(self, taker: Pattern):
+        """(kind, giver, given, taken) of the best exchange for a class, or None."""
+        free = self.capacity - sum(taker)
+        if self.two is None and len(self.under) <= PAIRED_CLASSES:
+            self._pair()
+        back = [(0, ())] + [(y, (y,)) for y in dict.fromkeys(taker)]
+        kinds = [("move", self.one, back[:1]), ("one for one", self.one, back[1:])]
+        if self.two is not None:
+            kinds += [("two for one", self.two, back[1:]), ("one for two", self.one, [(y, pair) for y, pair in self._sums(taker).items()])]
+        for kind, table, taken in kinds:
+            there = self.lengths if table is self.one else self.sums
+            best = None
+            for y, out in taken:
+                # the largest gain that some giver allows, if it is above what is found already
+                x = min(y + free, len(there) - 1)
+                while (x := there.rfind(1, y + (best[0] if best else 0) + 1, x + 1)) >= 0:
+                    giver = self._giver(table[x], taker)
+                    if giver is not None:
+                        best = (x - y, kind, giver, (x,) if table is self.one else self._sums(giver)[x], out)
+                        break
+                    x -= 1
+                if best and best[0] == free:
+                    break
+            if best:
+                return best[1:]
+        return None
+
+    def run(self) -> "Search":
+        """Search to the end: no bin more can empty, or no exchange of any kind helps any class."""
+        tokens = sum(sum(p) * n for t in (self.full, self.under) for p, n in t.items())
+        least = -(-tokens // self.capacity)
+        waiting: list[Pattern] = []
+        moved = False
+        while self.total() > least:
+            if not self.fresh:
+                if not moved and self.two is not None:
+                    break
+                if not moved and self.under:
+                    # whatever the number of classes, all pairs take part in the last exchanges
+                    self._pair()
+                self.fresh = [(-sum(p), p) for p in dict.fromkeys(waiting) if p in self.under]
+                heapq.heapify(self.fresh)
+                waiting, moved = [], False
+                if not self.fresh:
+                    break
+            taker = heapq.heappop(self.fresh)[1]
+            if taker not in self.under:
+                continue
+            found = self._change(taker)
+            if found is None:
+                waiting.append(taker)
+                continue
+            kind, giver, given, taken = found
+            n = self.under[taker] // 2 if giver == taker else min(self.under[taker], self.under[giver])
+            a, b = Counter(giver), Counter(taker)
+            a.subtract(given)
+            a.update(taken)
+            b.subtract(taken)
+            b.update(given)
+            self.add(giver, -n)
+            self.add(taker, -n)
+            self.add(a.elements(), n)
+            self.add(b.elements(), n)
+            if taker in self.under:
+                heapq.heappush(self.fresh, (-sum(taker), taker))
+            self.exchanges[kind] += n
+            moved = True
+        return self
+
+
+def local_search(histogram: dict[int, int], capacity: int) -> Search:
+    """Pack lengths with multiplicities: each document by itself at first, then exchanges."""
+    return Search(apart(histogram), capacity).run()
+
+
+def slots(bins: Counter) -> dict[int, tuple[np.ndarray, list]]:
     """For each length: the first numbers of its runs, and for each run (copies in a bin, first sequence, offsets)."""
     found: dict[int, tuple[list, list]] = {}
     taken: Counter[int] = Counter()
     sequence = 0
-    for pattern in sorted(bins.count, reverse=True):
-        n = bins.count[pattern]
+    for pattern in sorted(bins, reverse=True):
+        n = bins[pattern]
         at, places = 0, {}
         for length in pattern:
             places.setdefault(length, []).append(at)
@@ -193,7 +238,8 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     parts = materialize(parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
     counts = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = slots(local_search(best_fit(histogram, capacity)))
+    found = local_search(histogram, capacity)
+    places = slots(found.full + found.under)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,13 +92,45 @@ def test_packing_fills_and_covers(docs, empty):
 
 
 def test_local_search_empties_bins():
-    bins = packing.Bins(10)
-    for pattern in ((6,), (5, 3), (4, 2), (4, 3, 3), (5,), (5,)):
-        bins.add(pattern, 1)
-    before, lengths = bins.total(), Counter(x for p, n in bins.count.items() for x in p * n)
-    packing.local_search(bins)
-    assert bins.total() < before and Counter(x for p, n in bins.count.items() for x in p * n) == lengths
-    assert all(sum(p) <= 10 for p in bins.count)
+    """Bins lose nothing and empty; moves alone would not do. No exchange of any kind is left where the bound isn't met."""
+    of = lambda s: Counter(x for t in (s.full, s.under) for p, n in t.items() for x in p * n)
+    bins = Counter({(6,): 1, (5, 3): 1, (4, 2): 1, (4, 3, 3): 1, (5,): 2})
+    found = packing.Search(bins, 10).run()
+    assert found.total() == 4 and of(found) == Counter(x for p, n in bins.items() for x in p * n)
+    rng = random.Random(4)
+    kinds = Counter()
+    for _ in range(40):
+        size = rng.choice([12, 30, 64])
+        histogram = dict(Counter(rng.randint(1, size) for _ in range(rng.randint(1, 60))))
+        found = packing.local_search(histogram, size)
+        lengths = list(Counter(histogram).elements())
+        assert of(found) == Counter(lengths) and all(sum(p) <= size for p in found.full + found.under)
+        assert found.total() <= least_bins(lengths, size) + 1
+        kinds += found.exchanges
+        bins = [p for p, n in found.under.items() for _ in range(n)]
+        for i, a in enumerate(bins if found.total() > -(-sum(lengths) // size) else []):
+            for j, b in enumerate(bins):
+                if i != j and sum(a) <= sum(b):
+                    one, two = lambda p: [(x,) for x in p], lambda p: [(x, y) for k, x in enumerate(p) for y in p[k + 1 :]]
+                    for give, take in [*((g, ()) for g in one(a)), *((g, t) for g in one(a) + two(a) for t in one(b)), *((g, t) for g in one(a) for t in two(b))]:
+                        assert not 0 < sum(give) - sum(take) <= size - sum(b)
+    assert {"move", "one for one", "two for one"} <= set(kinds)
+    found = packing.Search(Counter({(9, 1, 1): 1, (3,): 2}), 12).run()
+    assert found.total() == 2 and found.exchanges["one for two"] == 1
+
+
+def test_packing_of_the_small_table_is_the_searchs_work():
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    texts = pq.read_table(path, columns=["text"])["text"].combine_chunks()
+    _, offsets = WordTokenizer.load(vocabulary("word_bpe_49k.json")).encode(texts)
+    histogram = Counter()
+    for n in (np.diff(offsets) + 1).tolist():
+        histogram.update([2048] * (n // 2048) + ([n % 2048] if n % 2048 else []))
+    found = packing.local_search(dict(histogram), 2048)
+    assert found.total() == -(-sum(k * n for k, n in histogram.items()) // 2048)
+    assert found.exchanges["move"] > 100 and found.exchanges["one for one"] > 10 and found.exchanges["one for two"] > 0
 
 
 def brute_components(texts, width, percent):
