@@ -33,6 +33,8 @@ SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("se
 OUT = frozenset("head script style noscript template nav aside footer form button select option textarea iframe svg canvas object embed audio video map dialog menu title xmp noembed noframes".split())
 #: Words in class or id names that mark what is beside the article.
 BESIDE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal newsletter subscribe signup share sharing social related recommended comment comments reply replies disqus login search widget toolbar masthead copyright pagination pager legal".split())
+#: Words that stand beside those in a name without changing its sense.
+PLAIN = frozenset("area bar block bottom box btn button buttons col column container content desktop fixed float form global group header icon icons inline inner item items left link links list main mobile module outer page panel post right row section site small social sticky text toggle top ui view wrap wrapper".split())
 MAIN_ROLES = frozenset(("main", "article", "articlebody"))
 
 
@@ -61,9 +63,11 @@ class Page:
                 elif key == "hidden" or value.lower() == "true":
                     hidden = True
         main = tag in ("article", "main") or role in MAIN_ROLES
-        marked = {p.lower() for n in names for p in PART.findall(n)} if tag not in ("html", "body") else set()
-        out = self.out[at] or tag in OUT or hidden or bool(marked & BESIDE) or role in ("navigation", "banner", "contentinfo", "complementary", "search")
-        if not self.inside[at] and not main and (tag == "header" or "header" in marked):
+        marked = [{p.lower() for p in PART.findall(name)} for n in names for name in n.split()] if tag not in ("html", "body") else []
+        # a name marks what is beside the article if all of its words do, but for plain ones: login-box, not login-guide
+        beside = any(words & BESIDE and words <= BESIDE | PLAIN for words in marked)
+        out = self.out[at] or tag in OUT or hidden or beside or role in ("navigation", "banner", "contentinfo", "complementary", "search")
+        if not self.inside[at] and not main and (tag == "header" or any("header" in words and words <= BESIDE | PLAIN for words in marked)):
             out = True
         self.sig.append(tag + ("." + names[0].split()[0] if names and names[0].split() else ""))
         self.parent.append(at)
@@ -76,6 +80,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("#", 0, True)]
         text: list[str] = []
+        silent: set[int] = set()  # excluded elements inside a block's text
 
         def flush() -> None:
             if text:
@@ -94,6 +99,8 @@ class Page:
                     continue
                 raw = ""
             if tag is None:
+                if stack[-1][1] in silent:
+                    continue
                 if token[0] != "<" or token == "<":
                     text.append(token)
                 elif token.startswith("<![CDATA["):
@@ -128,14 +135,15 @@ class Page:
             at = stack[-1][1]
             own = block or tag in OUT
             if own:
-                if not block:
-                    flush()
                 at = self._open(at, tag, m.group(3))
+                if not block:
+                    silent.add(at)
+                    own = False
             elif m.group(3) and ("class" in m.group(3) or "id" in m.group(3)):
                 inner = self._open(at, tag, m.group(3))
                 if self.out[inner] and not self.out[at]:
-                    flush()
-                    at, own = inner, True
+                    at = inner
+                    silent.add(at)
                 else:
                     for x in (self.sig, self.parent, self.out, self.main, self.inside):
                         x.pop()

@@ -414,6 +414,12 @@ def test_html_keeps_the_whole_article():
     assert html.extract("<main></main><p>outside</p>") == "outside"
 
 
+def test_html_leaves_out_what_stands_inside_a_paragraph():
+    page = "<article><p>hello <button>Share <b>now</b></button> world</p><p>a<span class='ad'>buy</span> b <noscript>x</noscript><svg><text>q</text></svg> c<script>z()</script></p>"
+    page += "<div class='login-guide'><p>How to <em>log in</em></p></div><div class='login-box'><p>Log in</p></div><div>x <span class='ad'><div>block</div></span> y</div></article>"
+    assert html.extract(page) == "hello world\n\na b c\n\nHow to log in\n\nx\n\ny"
+
+
 def test_html_template_from_all_pages(spark):
     """A notice below the share of all pages, in a layout of few pages, among paragraphs of plain divs."""
     rng = random.Random(5)
