@@ -370,6 +370,57 @@ def test_quality(spark, docs, empty):
     assert quality.judge(quality.statistics(empty)).count() == 0
 
 
+def brute_determinant(x):
+    """Means and covariance of least determinant of the rows of x, by concentration from three starts."""
+    floors, h = np.array(list(quality.FEATURES.values())), -(-len(x) * 3 // 4)
+    scale = quality.SUBSET / quality.chi_square_below(quality.chi_square_point(quality.SUBSET, 4), 6)
+    median = np.median(x, axis=0)
+    starts = [(median, np.diag((1.4826 * np.median(abs(x - median), axis=0)) ** 2 + floors**2)), (median, np.diag(floors**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + np.diag(floors**2))]
+    best = None
+    for m, c in starts:
+        last = np.linalg.det(c)
+        while True:
+            d = np.round(np.einsum("ki,ij,kj->k", x - m, np.linalg.inv(c), x - m), 9)
+            near = x[np.lexsort((*x.T[::-1], d))[:h]]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True).reshape(4, 4) * scale + np.diag(floors**2)
+            det = np.linalg.det(c)
+            if abs(det - last) <= 1e-9 * last:
+                break
+            last = det
+        if best is None or det < best[0] * (1 - 1e-12):
+            best = (det, m, c)
+    return best[1:]
+
+
+def test_outliers_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(900):
+        lang, source = rng.choice(["en", "de", None]), rng.choice(["s", "t"]) if k % 50 else "few"
+        n = rng.randint(60, 300)
+        bad = k % 40 == 0
+        lines = rng.randint(0, 9) if k % 3 == 0 else 0
+        rows.append((k, lang, source, n, round(n * rng.gauss(5 if lang == "en" else 6, 0.3)), rng.randint(n, 3 * n) if bad else rng.choice([0, 0, 1, 3]), lines, 12, rng.randint(0, n // 3)))
+    rows += [(1000, "xx", "alone", 70, 2000, 9, 0, 1, 3), (1001, "xx", "alone", 20, 90, 0, 0, 1, 0)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines int, n_repeat_words long")
+    got = {r.doc_id: r for r in quality.judge(stats).collect()}
+    grid = lambda v: np.floor(v * 64 + 0.5) / 64
+    x = {r[0]: grid(np.array([np.log(r[4] / r[3]), np.log1p(100 * r[5] / r[3]), np.sqrt(r[6] / r[7]), np.sqrt(r[8] / r[3])])) for r in rows if r[3] >= 50}
+    by = lambda key: {g: [r[0] for r in rows if r[0] in x and key(r) == g] for g in {key(r) for r in rows if r[0] in x}}
+    estimate = lambda ids: brute_determinant(np.array([x[k] for k in ids]))
+    draw = lambda n, own, above: tuple((n * a + 200 * b) / (n + 200) for a, b in zip(own, above))
+    every = estimate(list(x))
+    wide = {g: draw(len(ids), estimate(ids), every) for g, ids in by(lambda r: r[1]).items()}
+    out = 0
+    for (lang, _), ids in by(lambda r: r[1:3]).items():
+        m, c = draw(len(ids), estimate(ids), wide[lang])
+        for k in ids:
+            d = (x[k] - m) @ np.linalg.inv(c) @ (x[k] - m)
+            assert abs(got[k].distance - d) < 1e-4 * (1 + d) and got[k].kept == (d <= quality.chi_square_point(quality.KEEP, 4))
+            out += not got[k].kept
+    assert 10 < out < 40 and got[1001].base_failed and not got[1001].kept
+
+
 def test_chi_square():
     assert abs(quality.chi_square_point(0.95, 4) - 9.487729) < 1e-4
 
