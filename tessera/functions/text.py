@@ -17,18 +17,19 @@ DECLARED = r"(?:pub\s+)?(?:struct|fn|impl|const|enum)\s+(\w+)"
 TYPE_METHOD = r"\b([A-Z][A-Za-z0-9_]*)::[a-z_][\w]*"
 FENCED = r"(?s)```rust\n(.*?)```"
 UNICODE = "(?U)"
+#: A word ends where a capital follows a small letter or digit.
+WORD = "[A-Z]+[a-z0-9]*|[a-z0-9]+"
+WORDS = re.compile(WORD)
 
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of a text, camel case and underscores split, repeats kept."""
-    split = F.regexp_replace(F.replace(text, F.lit("::"), F.lit(" ")), r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.transform(F.regexp_extract_all(F.regexp_replace(split, r"[_\-]+", " "), F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
 
 
 def tokens_of(text: str) -> list[str]:
     """tokenize() for a query string, on the driver."""
-    split = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text.replace("::", " "))
-    return [t.lower() for t in re.findall(r"[A-Za-z0-9]+", re.sub(r"[_\-]+", " ", split))]
+    return [word.lower() for word in WORDS.findall(text)]
 
 
 def expanded(tokens: list[str]) -> list[str]:

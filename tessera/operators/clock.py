@@ -68,6 +68,12 @@ def replay(stamped: DataFrame, passes: int, source: str = "source", index: str =
     return out.withColumn(index, F.col(index) + F.col("pass") * F.col("_n")).withColumn("media_ms", F.col("media_ms") + F.col("pass") * (F.col("_last") + interval_ms)).drop("_n", "_last")
 
 
+def bounded_time(stamped: DataFrame, loop_for_ms: float, source: str = "source") -> DataFrame:
+    """Frames of the replays that begin a run no longer than loop_for_ms: those stamped before that time after the source's first frame."""
+    first = F.min("media_ms").over(Window.partitionBy(source))
+    return stamped.withColumn("_first", first).filter(F.col("media_ms") - F.col("_first") < loop_for_ms).drop("_first")
+
+
 def bounded(frames: DataFrame, max_frames: int, index: str = "frame_index") -> DataFrame:
     """Frames before a limit, counted over replays."""
     return frames.filter(F.col(index) < max_frames)

@@ -67,5 +67,23 @@ def iou_pairs(a: DataFrame, b: DataFrame, gate: float, on) -> DataFrame:
     return a.join(other, list(on)).withColumn("iou", G.iou(G.box(), right)).filter(F.col("iou") > gate)
 
 
+def unmatched(a: DataFrame, b: DataFrame, gate: float, on, index: str = "det_idx") -> DataFrame:
+    """Rows of either table without a partner above the gate: the key, the index and the side (track, detection)."""
+    key = [*on, index]
+    pairs = iou_pairs(a, b, gate, on)
+    left = a.join(pairs, key, "left_anti").select(*key, F.lit("track").alias("side"))
+    right = b.join(pairs.select(*on, F.col(f"{index}_b").alias(index)), key, "left_anti").select(*key, F.lit("detection").alias("side"))
+    return left.unionByName(right)
+
+
+def nearest_track(detections: DataFrame, tracks: DataFrame, on, index: str = "det_idx") -> DataFrame:
+    """The track whose centre is nearest to each detection's, the first of equally near ones: key, index, nearest, distance."""
+    centre = lambda rows, name: rows.select(*on, F.col(index).alias(name), *[c.alias(f"{name}_{x}") for c, x in zip(G.center(G.box()), "xy")])
+    both = centre(detections, index).join(centre(tracks, "nearest"), list(on))
+    square = sum(F.pow(F.col(f"{index}_{x}") - F.col(f"nearest_{x}"), 2) for x in "xy")
+    best = both.groupBy(*on, index).agg(F.min(F.struct(square.alias("d"), F.col("nearest"))).alias("m"))
+    return best.select(*on, index, F.col("m.nearest").alias("nearest"), F.sqrt("m.d").alias("distance"))
+
+
 def association_cost(overlap: Column, gate: float = 0.30, pad: float = 2.0) -> Column:
     return F.when(finite(overlap) & (overlap > gate), 1 - overlap).otherwise(F.lit(pad))

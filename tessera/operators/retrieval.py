@@ -127,7 +127,7 @@ def filtered(chunks: DataFrame, q: Query) -> DataFrame:
     return chunks.filter(F.col("kind") == q.kind) if q.kind else chunks
 
 
-def bm25_corpus(tokenized: DataFrame, pos: str = "pos", tokens: str = "tokens") -> DataFrame:
+def bm25_corpus(tokenized: DataFrame, tokens: str = "tokens") -> DataFrame:
     """One row: documents n and their mean length avgdl."""
     return tokenized.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
 
@@ -135,31 +135,37 @@ def bm25_corpus(tokenized: DataFrame, pos: str = "pos", tokens: str = "tokens")
 def bm25_terms(tokenized: DataFrame, corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Term frequencies over documents, with the inverse ones; a negative one becomes a share of their mean."""
     df = tokenized.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(tokenized: DataFrame, query_tokens: list[str], pos: str = "pos", tokens: str = "tokens") -> DataFrame:
-    """pos, bm25 of every row: query tokens count as often as they are given.
+def with_bm25(rows: DataFrame, query_tokens: list[str], tokens: str = "tokens") -> DataFrame:
+    """Adds bm25 to rows of a corpus: query tokens count as often as they are given.
 
-    Term counts of a row come from its own array, so only the query's terms leave the scan; corpus
-    statistics (one row, and a row for each query term) are broadcast.
+    Term counts of a row come from its own array in one pass, so only the query's terms leave the scan; corpus
+    statistics (one row, and a map of the query's terms) are broadcast.
     """
-    corpus = bm25_corpus(tokenized, pos, tokens)
     times = {t: query_tokens.count(t) for t in dict.fromkeys(query_tokens)}
     if not times:
-        return tokenized.select(pos, F.lit(0.0).alias("bm25"))
-    terms = bm25_terms(tokenized, corpus, tokens).filter(F.col("term").isin(*times))
-    idf = terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
-    rows = tokenized.join(F.broadcast(corpus)).join(F.broadcast(idf))
+        return rows.withColumn("bm25", F.lit(0.0))
+    corpus = bm25_corpus(rows, tokens=tokens)
+    terms = bm25_terms(rows, corpus, tokens).filter(F.col("term").isin(*times))
+    idf = terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_idf"))
+    found = F.filter(tokens, lambda x: x.isin(*times))
+    out = rows.crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(idf)).withColumn("_found", found)
     norm = K1 * (1 - B + B * F.size(tokens) / F.when(F.col("avgdl") > 0, F.col("avgdl")))
     total = F.lit(0.0)
     for t, n in times.items():
-        tf = F.size(F.filter(tokens, lambda x: x == t))
-        weight = F.coalesce(F.try_element_at("idf", F.lit(t)), F.lit(0.0))
+        tf = F.size(F.filter("_found", lambda x: x == t))
+        weight = F.coalesce(F.try_element_at("_idf", F.lit(t)), F.lit(0.0))
         total = total + n * weight * F.when(tf > 0, tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
-    return rows.select(pos, total.alias("bm25"))
+    return out.withColumn("bm25", total).drop("_idf", "_found", "n", "avgdl")
+
+
+def bm25_scores(tokenized: DataFrame, query_tokens: list[str], pos: str = "pos", tokens: str = "tokens") -> DataFrame:
+    """pos, bm25 of every row."""
+    return with_bm25(tokenized.select(pos, tokens), query_tokens, tokens).select(pos, "bm25")
 
 
 def cosine(a, b) -> Column:
@@ -216,7 +222,7 @@ def scored(chunks: DataFrame, q: Query) -> DataFrame:
     rows = filtered(chunks, q).withColumn("tokens", tokenize(search_text()))
     vector = F.lit(q.vector).cast("array<double>") if q.vector else F.array().cast("array<double>")
     parts = rows.withColumns({"semantic": cosine(F.col("embedding"), vector), "symbol_part": symbol_score(q), "overlap": body_overlap(q)})
-    parts = parts.join(bm25_scores(rows.select("pos", "tokens"), q.tokens), "pos")
+    parts = with_bm25(parts, q.tokens)
     parts = normalized(parts, "semantic", "bm25", "symbol_part")
     fused = SEMANTIC * F.col("semantic") + BM25 * F.col("bm25") + SYMBOL * F.col("symbol_part") + BODY * F.col("overlap")
     place = F.array_position(_strings(KIND_ORDER), F.col("kind"))

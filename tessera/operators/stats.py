@@ -13,8 +13,8 @@ def mean_or_zero(x) -> Column:
 
 
 def nearest_rank(x: str, share: float) -> Column:
-    """The nearest-rank percentile, 0 if there is none."""
-    return F.coalesce(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {x})").cast("double"), F.lit(0.0))
+    """The nearest-rank percentile of the numbers, 0 if there is none. NaN is no number."""
+    return F.coalesce(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {x}) FILTER (WHERE NOT isnan({x}))").cast("double"), F.lit(0.0))
 
 
 def stage_stats(frames: DataFrame, key: str = "source") -> DataFrame:
@@ -83,6 +83,32 @@ def rolling_fps(frames: DataFrame, key: str = "source", index: str = "frame_inde
     return times.select(key, F.explode(found).alias("r")).select(key, F.col("r.i").alias(index), F.col("r.fps").alias("fps"))
 
 
+def run_summary(frames: DataFrame, key: str = "source") -> DataFrame:
+    """One row per run: frames, mean and nearest-rank p95 of each stage, the slowest stage, queue figures and the allocation share."""
+    stages = stage_stats(frames, key)
+    wide = stages.groupBy(key).pivot("stage", list(STAGES)).agg(F.first("mean_ms").alias("mean_ms"), F.first("p95_ms").alias("p95_ms"))
+    counts = frames.groupBy(key).agg(F.count("*").alias("frames"))
+    return counts.join(wide, key).join(slowest_stage(stages, key), key).join(queue_stats(frames, key), key).join(allocation_share(frames, key), key)
+
+
+def median_of_runs(runs: DataFrame, value: str, key: str = "source") -> DataFrame:
+    """The middle run's value of each key, between the two middle ones for an even number; NaN and null runs don't count."""
+    real = runs.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return real.groupBy(key).agg(F.count("*").alias("runs"), F.median(value).alias("median"))
+
+
+def queue_depths(events: DataFrame, capacity: int, key: str = "source", index: str = "frame_index", change: str = "change") -> DataFrame:
+    """The depth of a queue after each event: change is 1 for an arrival, -1 for a take.
+
+    A take from an empty queue waits, so the depth is the running sum above its own lowest value so far. A depth
+    above the capacity marks an arrival that a bounded queue would have held back.
+    """
+    upto = Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("_sum", F.sum(change).over(upto))
+    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto)))
+    return rows.withColumn("held_back", F.col("depth") > capacity).drop("_sum")
+
+
 def soak_verdict(samples: DataFrame, key: str = "run", every_s: float = 30.0) -> DataFrame:
     """Checks of a sampled run: gaps within 2 s of the period, bounded memory growth, no steady rise in the last five samples."""
     order = Window.partitionBy(key).orderBy("elapsed_s")

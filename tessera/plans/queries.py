@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.functions.labels import class_name, label_text
-from tessera.operators import clock, detect, retrieval, stats, tracking
+from tessera.operators import clock, context, detect, retrieval, stats, tracking
 from tessera.plans import views as V
-from tessera.sources.files import staleness
+from tessera.sources import files
 
 ASKED = "the runtime and of pipeline threads"
+KEY = ["source", "frame_index", "class_id"]
 WORDS = ["the", "and", "of", "tion"]
 
 
@@ -89,22 +90,22 @@ def _frame_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def iou_pairs(s: SparkSession, d: str) -> DataFrame:
     a, b = _frame_tables(s, d)
-    return detect.iou_pairs(a, b, 0.30, ("source", "frame_index", "class_id")).select("source", "frame_index", "class_id", "det_idx", "det_idx_b", r6("iou").alias("iou"))
+    return detect.iou_pairs(a, b, 0.30, KEY).select("source", "frame_index", "class_id", "det_idx", "det_idx_b", r6("iou").alias("iou"))
 
 
 def assoc_cost(s: SparkSession, d: str) -> DataFrame:
     a, b = _frame_tables(s, d)
-    pairs = detect.iou_pairs(a, b, -1.0, ("source", "frame_index", "class_id"))
-    return pairs.groupBy("source", "frame_index", "class_id").agg(F.count("*").alias("n"), r6(F.sum(detect.association_cost(F.col("iou")))).alias("cost"))
+    pairs = detect.iou_pairs(a, b, -1.0, KEY)
+    return pairs.groupByKEY.agg(F.count("*").alias("n"), r6(F.sum(detect.association_cost(F.col("iou")))).alias("cost"))
 
 
 def unmatched_anti(s: SparkSession, d: str) -> DataFrame:
-    a, b = _frame_tables(s, d)
-    key = ["source", "frame_index", "class_id", "det_idx"]
-    pairs = detect.iou_pairs(a, b, 0.30, key[:3])
-    left = a.join(pairs, key, "left_anti").select(*key, F.lit("track").alias("side"))
-    right = b.join(pairs.select(*key[:3], F.col("det_idx_b").alias("det_idx")), key, "left_anti").select(*key, F.lit("detection").alias("side"))
-    return left.unionByName(right)
+    return detect.unmatched(*_frame_tables(s, d), 0.30, KEY)
+
+
+def nearest_track(s: SparkSession, d: str) -> DataFrame:
+    tracks, found = _frame_tables(s, d)
+    return detect.nearest_track(found, tracks, KEY).withColumn("distance", r6("distance"))
 
 
 def best_class(s: SparkSession, d: str) -> DataFrame:
@@ -159,7 +160,7 @@ def identity_churn(s: SparkSession, d: str) -> DataFrame:
 
 
 def confirmed_counts(s: SparkSession, d: str) -> DataFrame:
-    frames = s.range(10).select(F.col("id").alias("source")).join(s.range(600).select(F.col("id").alias("frame_index")))
+    frames = s.range(10).select(F.col("id").alias("source")).crossJoin(s.range(600).select(F.col("id").alias("frame_index")))
     return stats.confirmed_per_frame(frames, _track_view(s, d))
 
 
@@ -180,6 +181,28 @@ def rolling_fps(s: SparkSession, d: str) -> DataFrame:
     return stats.rolling_fps(clock.stamp(V.stamps(s, d)))
 
 
+def run_summary(s: SparkSession, d: str) -> DataFrame:
+    out = stats.run_summary(V.metrics(s, d))
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def median_runs(s: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    runs = V.table(s, d, "events").select(F.col("user_id").alias("source"), value.alias("fps"))
+    return stats.median_of_runs(runs, "fps").withColumn("median", r6("median"))
+
+
+def queue_depths(s: SparkSession, d: str) -> DataFrame:
+    change = F.when(F.col("event_id") % 5 < 3, 1).otherwise(-1)
+    rows = V.table(s, d, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("frame_index"), change.alias("change"))
+    return stats.queue_depths(rows, 8)
+
+
+def loop_for(s: SparkSession, d: str) -> DataFrame:
+    looped = clock.replay(clock.stamp(V.stamps(s, d)), 3)
+    return clock.bounded_time(looped, 3.6e9).groupBy("source").agg(F.count("*").alias("frames"), F.max("frame_index").alias("last_frame"), F.max("pass").alias("passes"))
+
+
 def dump_parity(s: SparkSession, d: str) -> DataFrame:
     o = V.table(s, d, "orders")
     left = o.select(F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("line"))
@@ -191,7 +214,7 @@ def staleness_diff(s: SparkSession, d: str) -> DataFrame:
     c = V.table(s, d, "customer").select(F.col("c_name").alias("path"), F.col("c_custkey"))
     was = c.filter("c_custkey % 10 <> 0").select("path", (F.col("c_custkey") * 100).alias("mtime_us"))
     now = c.filter("c_custkey % 10 <> 1").select("path", (F.col("c_custkey") * 100 + F.when(F.col("c_custkey") % 7 == 0, 50).otherwise(0)).alias("mtime_us"))
-    return staleness(was, now)
+    return files.staleness(was, now)
 
 
 def hit_rate(s: SparkSession, d: str) -> DataFrame:
@@ -208,7 +231,7 @@ def _tokenized(s: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize(s: SparkSession, d: str) -> DataFrame:
-    return _tokenized(s, d).select(F.col("pos").alias("doc_id"), F.size("tokens").alias("n"), F.array_join(F.slice("tokens", 1, 20), " ").alias("head"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
+    return _tokenized(s, d).select(F.col("pos").alias("doc_id"), F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
 
 
 def bm25_stats(s: SparkSession, d: str) -> DataFrame:
@@ -256,6 +279,34 @@ def hybrid_rank(s: SparkSession, d: str) -> DataFrame:
     return best.select("path", "symbol", "kind", r6("score").alias("score"))
 
 
+def filtered_rank(s: SparkSession, d: str) -> DataFrame:
+    """The path and kind filters come before all statistics of the corpus."""
+    q = _query(s, d)
+    best = retrieval.rank_chunks(V.chunks(s, d), retrieval.Query(ASKED, q.vector, "src", "struct"), 40, None)
+    return best.select("path", "symbol", "kind", r6("score").alias("score"))
+
+
+def search_results(s: SparkSession, d: str) -> DataFrame:
+    found = retrieval.search(V.chunks(s, d), ASKED, 8, vector=_query(s, d).vector)
+    return found.select("path", "symbol", "function", "kind", "line_start", "line_end", "score", "task_id")
+
+
+def path_chunks(s: SparkSession, d: str) -> DataFrame:
+    chunks = V.chunks(s, d).withColumn("line_start", (F.col("pos") * 7 % 11).cast("int"))
+    return context.best_of_paths(chunks, chunks.select("path").distinct()).select("path", "symbol", "kind", "line_start", "pos")
+
+
+def symbol_chunks(s: SparkSession, d: str) -> DataFrame:
+    chunks = V.chunks(s, d)
+    wanted = chunks.filter("pos < 200").groupBy("symbol").agg(F.min("pos").cast("int").alias("s_at"))
+    return context.symbol_chunks(chunks, wanted, ["src1/en", "src2/de"]).select("s_at", "symbol", "path", "kind", "pos")
+
+
+def track_dump(s: SparkSession, d: str) -> DataFrame:
+    rows = nms(s, d).select("*", (F.col("frame_index") * 33.3).alias("media_ms"), F.col("det_idx").alias("track_id"), F.when(F.col("det_idx") % 2 == 0, "confirmed").otherwise("tentative").alias("state"))
+    return files.dump_lines(rows)
+
+
 def match_reasons(s: SparkSession, d: str) -> DataFrame:
     rows = retrieval.scored(V.chunks(s, d), _query(s, d))
     return rows.select(F.col("pos").alias("doc_id"), F.array_join("match_reasons", " ").alias("reasons"))
@@ -265,8 +316,8 @@ def chunk_sections(s: SparkSession, d: str) -> DataFrame:
     from tessera.operators.chunks import doc_chunks
 
     marked = F.regexp_replace("text", r"\n(?=[A-M])", "\n## ")
-    files = V.table(s, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), marked.alias("content"))
-    return doc_chunks(files).select("path", "line_start", "line_end", "symbol", F.md5("body").alias("body_md5"))
+    pages = V.table(s, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), marked.alias("content"))
+    return doc_chunks(pages).select("path", "line_start", "line_end", "symbol", F.md5("body").alias("body_md5"))
 
 
 def slugify(s: SparkSession, d: str) -> DataFrame:
@@ -299,6 +350,28 @@ def assignment(s: SparkSession, d: str) -> DataFrame:
     return tracking.assignments(costs, key)
 
 
+def assignment_cost(s: SparkSession, d: str) -> DataFrame:
+    """What the assignment of each class in each frame costs, rows or columns left over at the pad's price."""
+    a, b = _frame_tables(s, d)
+    pairs = detect.iou_pairs(a, b, -1.0, KEY)
+    w = Window.partitionBy(*KEY)
+    place = lambda x: F.dense_rank().over(w.orderBy(x)) - 1
+    cells = pairs.select(*KEY, place("det_idx").alias("row_idx"), place("det_idx_b").alias("col_idx"), detect.association_cost(F.col("iou")).alias("cost"))
+    chosen = tracking.assignments(cells, KEY).join(cells, [*KEY, "row_idx", "col_idx"])
+    return chosen.groupBy(*KEY).agg(F.count("*").alias("pairs"), r6(F.sum("cost")).alias("cost"))
+
+
+def track_rules(s: SparkSession, d: str) -> DataFrame:
+    return tracking.broken_rules(track_batch(s, d))
+
+
+def track_births(s: SparkSession, d: str) -> DataFrame:
+    """In a source's first frame every detection is a live tentative track with an id of its own."""
+    first = Window.partitionBy("source").orderBy("frame_index")
+    live = tracking.live_tracks(track_batch(s, d)).withColumn("k", F.row_number().over(first)).filter("k = 1")
+    return live.select("source", "frame_index", "live", "confirmed", "last_id")
+
+
 QUERIES = {
     "frame_clock": frame_clock, "clock_summary": clock_summary, "loop_replay": loop_replay, "frame_bound": frame_bound, "letterbox_geometry": letterbox_geometry, "restore_boxes": restore_boxes,
     "bbox_metrics": bbox_metrics, "bbox_valid": bbox_valid, "bbox_clamp": bbox_clamp, "candidate_filter": candidate_filter, "iou_pairs": iou_pairs, "best_class": best_class,
@@ -308,4 +381,7 @@ QUERIES = {
     "staleness_diff": staleness_diff, "hit_rate": hit_rate, "tokenize": tokenize, "bm25_stats": bm25_stats, "bm25_topk": bm25_topk, "cosine_topk": cosine_topk, "minmax_norm": minmax_norm,
     "symbol_score": symbol_score, "body_overlap": body_overlap, "hybrid_rank": hybrid_rank, "match_reasons": match_reasons, "chunk_sections": chunk_sections, "slugify": slugify,
     "regex_paths": regex_paths, "track_batch": track_batch, "assignment": assignment,
+    "nearest_track": nearest_track, "run_summary": run_summary, "median_runs": median_runs, "queue_depths": queue_depths, "loop_for": loop_for, "filtered_rank": filtered_rank,
+    "search_results": search_results, "path_chunks": path_chunks, "symbol_chunks": symbol_chunks, "track_dump": track_dump, "assignment_cost": assignment_cost, "track_rules": track_rules,
+    "track_births": track_births,
 }

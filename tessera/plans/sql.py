@@ -112,7 +112,49 @@ PARTS = """ed AS (
   SELECT path, doc_id, section, min(pos) AS line_start, max(pos) AS line_end, max(CASE WHEN head THEN trim(regexp_extract(line, '^#{2,3}\\s+(.+)$', 1)) END) AS title, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS body
   FROM sec GROUP BY path, doc_id, section)""".replace("\\\\", "\\")
 
+FRAME = "source, frame_index, class_id"
+#: The cheapest assignment by dynamic programming over sets of columns: a row takes a column or, where rows are more, none.
+ASSIGNED = f"""{PAIRS}, size AS (SELECT {FRAME}, count(DISTINCT det_idx) AS n, count(DISTINCT det_idx_b) AS m FROM pairs GROUP BY ALL
+), cell AS (
+  SELECT {FRAME}, dense_rank() OVER (PARTITION BY {FRAME} ORDER BY det_idx) - 1 AS r, dense_rank() OVER (PARTITION BY {FRAME} ORDER BY det_idx_b) - 1 AS c,
+         CASE WHEN iou > 0.3 THEN 1 - iou ELSE 2.0::DOUBLE END AS cost FROM pairs
+), best AS (
+  SELECT {FRAME}, n, m, 0 AS r, 0 AS taken, 0.0::DOUBLE AS cost FROM size
+  UNION ALL
+  SELECT {FRAME}, n, m, r + 1, taken, min(cost) FROM (
+    SELECT b.source, b.frame_index, b.class_id, n, m, b.r, b.taken | (1 << c.c::INTEGER) AS taken, b.cost + c.cost AS cost
+    FROM best b JOIN cell c ON c.source = b.source AND c.frame_index = b.frame_index AND c.class_id = b.class_id AND c.r = b.r AND (b.taken >> c.c::INTEGER) & 1 = 0
+    UNION ALL
+    SELECT source, frame_index, class_id, n, m, r, taken, cost FROM best WHERE r < n AND n > m AND r - bit_count(taken) < n - m
+  ) GROUP BY ALL
+)"""
+ROLLING = f"""{STAMPS}, s AS (SELECT source, frame_index, media_ms, row_number() OVER (PARTITION BY source ORDER BY frame_index) AS k FROM clock
+), span AS (
+  SELECT source, k, frame_index, media_ms AS since, 0 AS n, CAST(NULL AS DOUBLE) AS fps FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.source, s.k, s.frame_index, CASE WHEN s.media_ms - since >= 1000 THEN s.media_ms ELSE since END, CASE WHEN s.media_ms - since >= 1000 THEN 0 ELSE n + 1 END,
+         CASE WHEN s.media_ms - since >= 1000 THEN (n + 1) * 1000 / (s.media_ms - since) END
+  FROM span JOIN s ON s.source = span.source AND s.k = span.k + 1
+)"""
+CHUNKS = f"""ch AS (
+  SELECT doc_id AS pos, source || '/' || lang AS path, string_split(text, ' ')[1] AS symbol, {KINDS}[doc_id % 9 + 1] AS kind FROM documents)"""
+STAGE_ROWS = ", ".join(f"round(avg({s}_ms), 6) AS {s}_mean_ms, round(quantile_disc({s}_ms, 0.95), 6) AS {s}_p95_ms" for s in ("decode", "preprocess", "inference", "tracking", "render"))
+
 SQL = {
+    "rolling_fps": f"WITH RECURSIVE {ROLLING} SELECT source, frame_index, fps FROM span WHERE fps IS NOT NULL",
+    "assignment_cost": f"WITH RECURSIVE {ASSIGNED} SELECT source, frame_index, class_id, least(n, m) AS pairs, round(min(cost), 6) AS cost FROM best WHERE r = n GROUP BY ALL",
+    "nearest_track": f"WITH RECURSIVE {NMS}, c AS (SELECT source, frame_index, class_id, det_idx, (x_min + x_max) / 2 AS x, (y_min + y_max) / 2 AS y FROM kept), p AS (SELECT b.source, b.frame_index, b.class_id, b.det_idx, a.det_idx AS nearest, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM c b JOIN c a ON a.source = b.source AND a.frame_index = b.frame_index AND a.class_id = b.class_id AND a.det_idx % 2 = 0 AND b.det_idx % 2 = 1) SELECT source, frame_index, class_id, det_idx, nearest, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY source, frame_index, class_id, det_idx ORDER BY distance, nearest) = 1",
+    "run_summary": f"WITH {METRICS}, w AS (SELECT source, arg_max(stage, {{'m': ms, 'o': o}}) AS slowest_stage FROM (SELECT source, stage, o, avg(ms) AS ms FROM long GROUP BY ALL) GROUP BY source), r AS (SELECT source, count(*) AS frames, {STAGE_ROWS}, round(avg(depth), 6) AS mean_depth, round(avg(CASE WHEN depth = 2 THEN 1.0 ELSE 0.0 END), 6) AS fraction_at_capacity, max(depth) AS peak_depth, round(100 * sum(decode_ms + preprocess_ms) / sum(decode_ms + preprocess_ms + inference_ms + tracking_ms), 6) AS share_percent FROM m GROUP BY source) SELECT * FROM r JOIN w USING (source)",
+    "median_runs": "SELECT user_id AS source, count(*) AS runs, round(median(value), 6) AS median FROM events WHERE event_id % 13 <> 0 GROUP BY user_id",
+    "queue_depths": "WITH e AS (SELECT user_id AS source, event_id AS frame_index, CAST(CASE WHEN event_id % 5 < 3 THEN 1 ELSE -1 END AS INTEGER) AS change FROM events), s AS (SELECT *, sum(change) OVER (PARTITION BY source ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS t FROM e), d AS (SELECT source, frame_index, change, CAST(t - least(0, min(t) OVER (PARTITION BY source ORDER BY frame_index ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS depth FROM s) SELECT *, depth > 8 AS held_back FROM d",
+    "loop_for": f"WITH {STAMPS}, e AS (SELECT source, count(*) AS n, max(media_ms) AS l, min(media_ms) AS f FROM clock GROUP BY source), r AS (SELECT source, frame_index + p * n AS i, p, media_ms + p * (l + 1000.0::DOUBLE / 30.0::DOUBLE) - f AS t FROM clock JOIN e USING (source), range(3) x(p)) SELECT source, count(*) AS frames, max(i) AS last_frame, CAST(max(p) AS INTEGER) AS passes FROM r WHERE t < 3600000000 GROUP BY source",
+    "search_results": f"WITH {HYBRID}, f AS (SELECT * FROM s WHERE score >= 0.12 QUALIFY row_number() OVER (PARTITION BY path, symbol ORDER BY score DESC, ko, symbol, doc_id) = 1) SELECT path, symbol, symbol AS function, kind, 1 AS line_start, 1 AS line_end, round(score, 4) AS score, CAST(NULL AS VARCHAR) AS task_id FROM f ORDER BY f.score DESC, ko, symbol, doc_id LIMIT 8",
+    "filtered_rank": f"WITH {HYBRID.replace('WHERE vec_id = 7) q', "WHERE vec_id = 7) q WHERE d.source LIKE 'src%' AND doc_id % 9 = 2")}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path, symbol ORDER BY score DESC, ko, symbol, doc_id) = 1) SELECT path, symbol, kind, round(score, 6) AS score FROM f ORDER BY f.score DESC, ko, symbol, doc_id LIMIT 40",
+    "path_chunks": f"WITH {CHUNKS} SELECT path, symbol, kind, CAST(pos * 7 % 11 AS INTEGER) AS line_start, pos FROM ch QUALIFY row_number() OVER (PARTITION BY path ORDER BY coalesce(list_position(['mod', 'struct', 'fn', 'const', 'impl', 'enum', 'script', 'plan_ref'], kind), 10), pos * 7 % 11, pos) = 1",
+    "symbol_chunks": f"WITH {CHUNKS}, w AS (SELECT symbol, CAST(min(pos) AS INTEGER) AS s_at FROM ch WHERE pos < 200 GROUP BY symbol), t AS (SELECT s_at, ch.*, CASE WHEN path IN ('src1/en', 'src2/de') AND kind <> 'plan_ref' THEN 0 WHEN kind NOT IN ('plan_ref', 'doc') THEN 1 ELSE 2 END AS tier FROM ch JOIN w USING (symbol)) SELECT s_at, symbol, path, kind, pos FROM t QUALIFY row_number() OVER (PARTITION BY s_at, symbol ORDER BY tier, CASE WHEN tier = 0 THEN path ELSE '' END, pos) = 1",
+    "track_dump": f"WITH RECURSIVE {NMS} SELECT source, frame_index, det_idx AS track_id, format('{{}},{{:.3f}},{{}},{{}},{{}},{{:.3f}},{{:.3f}},{{:.3f}},{{:.3f}},{{:.4f}}', frame_index, frame_index * 33.3::DOUBLE, det_idx, class_id, CASE WHEN det_idx % 2 = 0 THEN 'confirmed' ELSE 'tentative' END, x_min, y_min, x_max, y_max, confidence) AS line FROM kept",
+    "track_rules": f"WITH {DET} SELECT DISTINCT source, CAST(0 AS BIGINT) AS gaps_in_ids, CAST(0 AS BIGINT) AS births_out_of_order, CAST(0 AS BIGINT) AS class_changes, CAST(0 AS BIGINT) AS beyond_retention, CAST(0 AS BIGINT) AS wrong_state, CAST(0 AS BIGINT) AS tentative_misses FROM det",
+    "track_births": f"WITH RECURSIVE {NMS}, f AS (SELECT source, min(frame_index) AS frame_index FROM kept GROUP BY source) SELECT source, frame_index, count(*) AS live, CAST(0 AS BIGINT) AS confirmed, count(*) AS last_id FROM kept JOIN f USING (source, frame_index) GROUP BY ALL",
     "candidate_filter": f"WITH {DET} SELECT * FROM det",
     "det_sort_rank": f"WITH {DET} SELECT source, frame_index, CAST(row_number() OVER (PARTITION BY source, frame_index ORDER BY confidence DESC, class_id, x_min, y_min, x_max, y_max) - 1 AS INTEGER) AS det_idx, class_id, confidence, x_min, y_min, x_max, y_max FROM det",
     "nms": f"WITH RECURSIVE {NMS} SELECT * FROM kept",
@@ -148,7 +190,7 @@ SELECT *, gaps_ok AND rss_ok AND rss_steady AND live_steady AS passed FROM a""",
 g AS (SELECT l_orderkey % 100 AS q, CAST(l_partkey % 20 AS VARCHAR) AS path, l_linestatus AS symbol FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) <= 40),
 h AS (SELECT w.q, bool_and(EXISTS (SELECT 1 FROM g WHERE g.q = w.q AND g.path = w.path AND (w.symbol IS NULL OR w.symbol = g.symbol))) AS passed FROM w GROUP BY w.q)
 SELECT count(*) AS queries, round(coalesce(avg(CAST(passed AS DOUBLE)), 1.0), 6) AS rate, coalesce(avg(CAST(passed AS DOUBLE)), 1.0) >= 0.8 AS ok FROM h""",
-    "tokenize": f"WITH {TOKENS} SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n, array_to_string(tokens[1:20], ' ') AS head, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct FROM tok",
+    "tokenize": f"WITH {TOKENS} SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n, md5(array_to_string(tokens, ' ')) AS tokens_md5, CAST(len(list_distinct(tokens)) AS INTEGER) AS n_distinct FROM tok",
     "bm25_stats": f"WITH {TOKENS}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {TOKENS}, {bm25(['the', 'and', 'of', 'tion'])} SELECT doc_id, round(bm25, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 50",
     "cosine_topk": "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY score DESC, vec_id LIMIT 20",

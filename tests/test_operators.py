@@ -174,3 +174,30 @@ def test_golden_reader(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps(rows))
     assert files.read_golden(spark, str(tmp_path / "q.json"), 1).count() == 1
     assert files.read_golden(spark, str(tmp_path / "q.json"), 3).count() == 3
+
+
+def test_test_code_by_spans():
+    from tessera.operators.chunks import without_tests
+
+    source = "fn a() {}\n#[cfg(test)]\nimpl X { fn t() { {} } }\nfn b() {}\n#[cfg(test)]\nimpl Y {\n fn open() {\n"
+    assert without_tests(source) == "fn a() {}\n\nfn b() {}\n{\n fn open() {\n"
+    assert without_tests("fn a() {}\n#[cfg(test)]\nmod tests {\n}\nfn late() {}") == "fn a() {}\n"
+    assert without_tests("#[cfg(test)]\nimpl Z;") == "" and without_tests("fn c() {}") == "fn c() {}"
+
+
+def test_words_are_those_of_two_steps():
+    import re
+
+    from tessera.functions.text import tokens_of
+
+    for text in ("DecodeStage next bounded_queue", "HTTPServer2X a1B2C", "x::y--z__w", "éA1é", "", "ABC", "aB9c D"):
+        split = re.sub("([a-z0-9])([A-Z])", r"\1 \2", text)
+        assert tokens_of(text) == [t.lower() for t in re.findall("[A-Za-z0-9]+", split)]
+
+
+def test_median_and_percentile_leave_nan_out(spark):
+    from tessera.operators import stats
+
+    rows = spark.createDataFrame([(1, float("nan")), (1, 3.0), (1, 1.0), (1, 2.0), (2, None)], "source int, fps double")
+    assert [tuple(r) for r in stats.median_of_runs(rows, "fps").collect()] == [(1, 3, 2.0)]
+    assert {r.source: r.p for r in rows.groupBy("source").agg(stats.nearest_rank("fps", 0.95).alias("p")).collect()} == {1: 3.0, 2: 0.0}
