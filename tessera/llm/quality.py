@@ -18,6 +18,8 @@ MOST_REPEATED_PERCENT = 50
 SUBSET = 0.75
 #: Concentration goes on until no determinant changes; that many steps without an end are an error.
 MOST_STEPS = 200
+#: Steps in one job: the tables are small, so jobs cost more than steps.
+STEPS_AT_ONCE = 3
 #: Rows that an estimate counts for in the one below it: of all rows in a language's, of a language in a source's.
 PRIOR_ROWS = 200
 #: Probability that a row of the group's own normal distribution is kept.
@@ -161,7 +163,10 @@ def determinant_estimates(cells: DataFrame, names: list[str]) -> DataFrame:
     factors = materialize(_factored(_starts(cells, names, n), names), "starts")
     for _ in range(MOST_STEPS):
         last = factors.select("g", "s", F.col("det").alias("last"))
-        step = _factored(_concentrated(cells, factors, names, n, scale), names).join(last, ["g", "s"])
+        step = factors
+        for _ in range(STEPS_AT_ONCE):
+            step = _factored(_concentrated(cells, step, names, n, scale), names)
+        step = step.join(last, ["g", "s"])
         before, factors = factors, materialize(step.withColumn("moved", F.abs(F.col("det") - F.col("last")) > 1e-9 * F.col("last")).drop("last"), "factors")
         discard(before)
         if factors.filter("moved").isEmpty():
