@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -80,6 +82,13 @@ def marked(rows: DataFrame, key: str, bits: DataFrame, there: bool = True) -> Da
     return rows.join(F.broadcast(bits), hit, "left_semi" if there else "left_anti")
 
 
+def release() -> None:
+    """Give back what a worker's allocators hold unused; where the C library has no call for it, what Arrow holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str, most: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow, with batches of bounded bytes: fn gets a RecordBatch and yields RecordBatches.
 
@@ -90,7 +99,7 @@ def map_arrow(df: DataFrame, fn, schema: str, most: int = BATCH_BYTES) -> DataFr
         for batch in batches:
             for part in slices(batch, most):
                 yield from fn(part)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, discard, gather, map_arrow, materialize, mix64, table, text_key, words_of
+from tessera.llm.common import bound_batches, discard, gather, map_arrow, materialize, mix64, release, table, text_key, words_of
 from tessera.llm.components import components
 
 #: Values kept of each set: its smallest hashes.
@@ -242,6 +242,7 @@ def in_blocks(docs: DataFrame, sets: DataFrame, open_lists: DataFrame, width: in
             both = shared_counts([values[k] for k in x], [values[k] for k in y]).astype(np.int64)
             linked = 100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)
             a, b = forest(linked & (root[x][:, None] != root[y][None, :]))
+            release()
         return pa.table({"a": pa.array([keys[x[k]] for k in a], pa.binary()), "b": pa.array([keys[y[k]] for k in b], pa.binary())})
 
     found = rows.groupBy("g", "i", "j").applyInArrow(run, "a binary, b binary")

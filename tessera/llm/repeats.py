@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, discard, key_bits, map_arrow, marked, materialize, mix64, partitions, table, text_key
+from tessera.llm.common import bound_batches, discard, key_bits, map_arrow, marked, materialize, mix64, partitions, release, table, text_key
 
 #: Bytes of a repeated string at least.
 LENGTH = 400
@@ -18,13 +18,13 @@ LENGTH = 400
 GRAM = 32
 #: Groups of more bytes than this are indexed in parts, and what is left of them is dealt anew by longer grams; a worker
 #: holds a group or part at a time.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Strings of a run at most.
 RUN = 1 << 18
 #: How much longer the grams of the next level are.
 LONGER = 4
 #: Bytes of groups that are indexed together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 #: A byte that UTF-8 never uses; it ends each segment in the index.
 END = 0xFF
 
@@ -268,6 +268,7 @@ def _indexed(texts: DataFrame, groups: DataFrame, length: int, parts: int) -> Da
                 held += len(row[1])
         if rows:
             yield flush(rows)
+        release()
 
     wants = groups.select("v", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "tid", "first", "last", "many", (F.col("blocks") > 1).alias("parted"))
     cuts = map_arrow(_wanted(texts, wants), cut, "v long, block int, sid binary, content binary, many boolean, parted boolean")
