@@ -47,7 +47,7 @@ def doc_headers(chunks: DataFrame, task: str) -> DataFrame:
 
 
 def task_context(chunks: DataFrame, artifacts: DataFrame, task: str, top_k: int = 8, vector: list[float] | None = None) -> DataFrame:
-    """Rows in order (place) with score and reason, each path and symbol once, top_k at most.
+    """Rows in order (place) with score, match_reasons and these joined (reason), each path and symbol once, top_k at most.
 
     The task's own artifact row is bounded by one document and steers the plan from the driver; all
     chunk look-ups are joins. The order in which stages give rows decides, not the scores.
@@ -57,7 +57,7 @@ def task_context(chunks: DataFrame, artifacts: DataFrame, task: str, top_k: int
     files, symbols = (list(own["files"]), list(own["symbols"])) if own else ([], [])
 
     def staged(rows: DataFrame, stage: int, at, score: float, reason) -> DataFrame:
-        return rows.select(*SHOWN, F.lit(stage).alias("stage"), at.cast("int").alias("at"), F.lit(score).alias("score"), reason.alias("reason"))
+        return rows.select(*SHOWN, F.lit(stage).alias("stage"), at.cast("int").alias("at"), F.lit(score).alias("score"), F.array(reason).alias("match_reasons"))
 
     parts = [staged(doc_headers(chunks, task), 0, F.col("at"), 1.0, F.lit("task_doc"))]
     names = [s for s in symbols if s not in PASSED_OVER]
@@ -65,7 +65,8 @@ def task_context(chunks: DataFrame, artifacts: DataFrame, task: str, top_k: int
         wanted = spark.createDataFrame(list(enumerate(names)), "s_at int, symbol string")
         found = symbol_chunks(chunks, wanted, files)
         order = F.when(F.col("symbol").isin(*ANCHORS), _place(ANCHORS, F.col("symbol"))).when(F.col("kind") == "struct", 100).otherwise(200)
-        ordered = found.withColumn("at", F.row_number().over(Window.orderBy(order, "s_at")))
+        # a name without a chunk still takes its place
+        ordered = wanted.join(found, ["s_at", "symbol"], "left").withColumn("at", F.row_number().over(Window.orderBy(order, "s_at"))).filter("pos is not null")
         slots = max(3, top_k // 2)
         reason = F.concat(F.lit("task_symbol:"), F.col("symbol"))
         parts.append(staged(ordered.filter(F.col("at") <= slots), 1, F.col("at"), 0.9, reason))
@@ -84,14 +85,18 @@ def task_context(chunks: DataFrame, artifacts: DataFrame, task: str, top_k: int
         parts.append(staged(rows, stage, F.col("at"), score, F.concat(F.lit(label), F.col("path"))))
     if names:
         fill = rank_chunks(chunks.filter(~F.col("kind").isin("doc", "plan_ref")), Query(" ".join(symbols[:FILL_SYMBOLS]), vector), top_k + 2, SCORE_FLOOR)
-        parts.append(fill.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "kind_order", "symbol", "pos"))).select(*SHOWN, F.lit(5).alias("stage"), F.col("at").cast("int").alias("at"), "score", F.lit(f"task:{task}").alias("reason")))
+        parts.append(fill.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "kind_order", "symbol", "pos"))).select(*SHOWN, F.lit(5).alias("stage"), F.col("at").cast("int").alias("at"), "score", F.concat(F.array(F.lit(f"task:{task}")), "match_reasons").alias("match_reasons")))
     else:
         found = rank_chunks(chunks, Query(task, vector), top_k, SCORE_FLOOR)
-        parts.append(found.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "kind_order", "symbol", "pos"))).select(*SHOWN, F.lit(6).alias("stage"), F.col("at").cast("int").alias("at"), "score", F.array_join("match_reasons", " ").alias("reason")))
+        parts.append(found.withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "kind_order", "symbol", "pos"))).select(*SHOWN, F.lit(6).alias("stage"), F.col("at").cast("int").alias("at"), "score", "match_reasons"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     fallback = F.min("stage").over(Window.partitionBy(F.lit(0)))
     every = every.withColumn("_least", fallback).filter("stage < 6 or _least = 6")
     once = every.withColumn("_k", F.row_number().over(Window.partitionBy("path", "symbol").orderBy("stage", "at"))).filter("_k = 1")
-    return once.orderBy("stage", "at").limit(top_k).select("path", "symbol", "kind", "line_start", "line_end", "stage", "at", F.round("score", 4).alias("score"), "reason")
+    # the search that fills up is asked for what is missing and two more
+    before = F.count_if(F.col("stage") < 5).over(Window.partitionBy(F.lit(0)))
+    once = once.withColumn("_before", before).filter((F.col("stage") != 5) | (F.col("at") <= top_k - F.col("_before") + 2))
+    shown = ("path", "symbol", "kind", "line_start", "line_end", "stage", "at", F.round("score", 4).alias("score"), F.array_join("match_reasons", " ").alias("reason"), "match_reasons", "pos")
+    return once.orderBy("stage", "at").limit(max(0, top_k)).select(*shown)

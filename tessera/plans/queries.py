@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.functions.labels import class_name, label_text
-from tessera.operators import clock, context, detect, retrieval, stats, tracking
+from tessera.operators import clock, context, detect, embedding, retrieval, stats, tracking
 from tessera.plans import views as V
 from tessera.sources import files
 
@@ -291,6 +291,17 @@ def search_results(s: SparkSession, d: str) -> DataFrame:
     return found.select("path", "symbol", "function", "kind", "line_start", "line_end", "score", "task_id")
 
 
+def _sizes(texts: list[str]) -> list[list[float]]:
+    """Stands for a model."""
+    return [[len(t), t.count("e")] for t in texts]
+
+
+def embed_texts(s: SparkSession, d: str) -> DataFrame:
+    rows = V.chunks(s, d).withColumn("asked", T.embedding_text())
+    v = embedding.with_embeddings(rows, _sizes).select("pos", F.md5("asked").alias("text_md5"), "embedding")
+    return v.select("pos", "text_md5", F.get("embedding", F.lit(0)).alias("n_chars"), F.get("embedding", F.lit(1)).alias("n_e"))
+
+
 def path_chunks(s: SparkSession, d: str) -> DataFrame:
     chunks = V.chunks(s, d).withColumn("line_start", (F.col("pos") * 7 % 11).cast("int"))
     return context.best_of_paths(chunks, chunks.select("path").distinct()).select("path", "symbol", "kind", "line_start", "pos")
@@ -382,6 +393,6 @@ QUERIES = {
     "symbol_score": symbol_score, "body_overlap": body_overlap, "hybrid_rank": hybrid_rank, "match_reasons": match_reasons, "chunk_sections": chunk_sections, "slugify": slugify,
     "regex_paths": regex_paths, "track_batch": track_batch, "assignment": assignment,
     "nearest_track": nearest_track, "run_summary": run_summary, "median_runs": median_runs, "queue_depths": queue_depths, "loop_for": loop_for, "filtered_rank": filtered_rank,
-    "search_results": search_results, "path_chunks": path_chunks, "symbol_chunks": symbol_chunks, "track_dump": track_dump, "assignment_cost": assignment_cost, "track_rules": track_rules,
+    "search_results": search_results, "path_chunks": path_chunks, "embed_texts": embed_texts, "symbol_chunks": symbol_chunks, "track_dump": track_dump, "assignment_cost": assignment_cost, "track_rules": track_rules,
     "track_births": track_births,
 }

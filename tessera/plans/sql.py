@@ -150,6 +150,7 @@ SQL = {
     "loop_for": f"WITH {STAMPS}, e AS (SELECT source, count(*) AS n, max(media_ms) AS l, min(media_ms) AS f FROM clock GROUP BY source), r AS (SELECT source, frame_index + p * n AS i, p, media_ms + p * (l + 1000.0::DOUBLE / 30.0::DOUBLE) - f AS t FROM clock JOIN e USING (source), range(3) x(p)) SELECT source, count(*) AS frames, max(i) AS last_frame, CAST(max(p) AS INTEGER) AS passes FROM r WHERE t < 3600000000 GROUP BY source",
     "search_results": f"WITH {HYBRID}, f AS (SELECT * FROM s WHERE score >= 0.12 QUALIFY row_number() OVER (PARTITION BY path, symbol ORDER BY score DESC, ko, symbol, doc_id) = 1) SELECT path, symbol, symbol AS function, kind, 1 AS line_start, 1 AS line_end, round(score, 4) AS score, CAST(NULL AS VARCHAR) AS task_id FROM f ORDER BY f.score DESC, ko, symbol, doc_id LIMIT 8",
     "filtered_rank": f"WITH {HYBRID.replace('WHERE vec_id = 7) q', "WHERE vec_id = 7) q WHERE d.source LIKE 'src%' AND doc_id % 9 = 2")}, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path, symbol ORDER BY score DESC, ko, symbol, doc_id) = 1) SELECT path, symbol, kind, round(score, 6) AS score FROM f ORDER BY f.score DESC, ko, symbol, doc_id LIMIT 40",
+    "embed_texts": f"WITH {CHUNKS}, a AS (SELECT pos, 'module: ' || coalesce(lang, '') || chr(10) || 'kind: ' || kind || chr(10) || 'symbol: ' || coalesce(string_split(text, ' ')[1], '') || CASE WHEN text <> '' THEN chr(10) || 'body: ' || text ELSE '' END AS asked FROM ch JOIN documents ON doc_id = pos) SELECT pos, md5(asked) AS text_md5, CAST(length(asked) AS DOUBLE) AS n_chars, CAST(length(asked) - length(replace(asked, 'e', '')) AS DOUBLE) AS n_e FROM a",
     "path_chunks": f"WITH {CHUNKS} SELECT path, symbol, kind, CAST(pos * 7 % 11 AS INTEGER) AS line_start, pos FROM ch QUALIFY row_number() OVER (PARTITION BY path ORDER BY coalesce(list_position(['mod', 'struct', 'fn', 'const', 'impl', 'enum', 'script', 'plan_ref'], kind), 10), pos * 7 % 11, pos) = 1",
     "symbol_chunks": f"WITH {CHUNKS}, w AS (SELECT symbol, CAST(min(pos) AS INTEGER) AS s_at FROM ch WHERE pos < 200 GROUP BY symbol), t AS (SELECT s_at, ch.*, CASE WHEN path IN ('src1/en', 'src2/de') AND kind <> 'plan_ref' THEN 0 WHEN kind NOT IN ('plan_ref', 'doc') THEN 1 ELSE 2 END AS tier FROM ch JOIN w USING (symbol)) SELECT s_at, symbol, path, kind, pos FROM t QUALIFY row_number() OVER (PARTITION BY s_at, symbol ORDER BY tier, CASE WHEN tier = 0 THEN path ELSE '' END, pos) = 1",
     "track_dump": f"WITH RECURSIVE {NMS} SELECT source, frame_index, det_idx AS track_id, format('{{}},{{:.3f}},{{}},{{}},{{}},{{:.3f}},{{:.3f}},{{:.3f}},{{:.3f}},{{:.4f}}', frame_index, frame_index * 33.3::DOUBLE, det_idx, class_id, CASE WHEN det_idx % 2 = 0 THEN 'confirmed' ELSE 'tentative' END, x_min, y_min, x_max, y_max, confidence) AS line FROM kept",

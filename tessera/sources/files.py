@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import decimal
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,16 @@ DUMP_COLUMNS = ("frame_index", "media_ms", "track_id", "class_id", "state", "x_m
 SOAK = "elapsed_seconds double, rss_kb long, frame_count long, live_track_count int, confirmed_track_count int, decode_ms double, preprocess_ms double, inference_ms double, tracking_ms double, render_ms double, decoded_depth string, prepared_depth string, detected_depth string, tracked_depth string"
 
 
+class Index(NamedTuple):
+    """Chunks with what is known of their making; files_changed counts files that a former index did not reflect."""
+
+    chunks: DataFrame
+    built_at: datetime.datetime
+    chunk_count: int
+    reindexed: bool
+    files_changed: int
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Images of a folder as frames in the order of their names within each subfolder, which is the source."""
     images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
@@ -69,13 +81,21 @@ def staleness(indexed: DataFrame, current: DataFrame, tolerance_us: int = 1) ->
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
 
-def refreshed(spark: SparkSession, path: str, files: DataFrame, build, force: bool = False) -> DataFrame:
-    """The index at path, built anew if it is forced, missing or stale."""
+def load_index(spark: SparkSession, path: str, files: DataFrame, build, force: bool = False) -> Index:
+    """The index at path, built anew from files if that is forced or the index is missing, stale or of another version."""
     found = None if force else read_index(spark, path)
-    if found is not None and staleness(spark.read.parquet(f"{path}/files"), files).isEmpty():
-        return found
-    write_index(build(files), files, path)
-    return read_index(spark, path)
+    changed = staleness(spark.read.parquet(f"{path}/files"), files).count() if found is not None else 0
+    anew = found is None or changed > 0
+    if anew:
+        write_index(build(files), files, path)
+        found = read_index(spark, path)
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return Index(found, meta["built_at"], meta["chunk_count"], anew, changed)
+
+
+def refreshed(spark: SparkSession, path: str, files: DataFrame, build, force: bool = False) -> DataFrame:
+    """The chunks of load_index."""
+    return load_index(spark, path, files, build, force).chunks
 
 
 def dump_lines(tracks: DataFrame) -> DataFrame:
