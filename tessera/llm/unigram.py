@@ -21,8 +21,8 @@ NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_PENALTY = 10.0
 #: Characters between two looks for a boundary where all paths meet.
 LOOK = 64
-#: Segments that a worker keeps; beyond it the cache starts anew.
-CACHE = 1_000_000
+#: Segments that a worker keeps, and characters in them; beyond either the cache starts anew.
+CACHE, CACHE_CHARS = 1_000_000, 1 << 24
 _loaded: dict[str, "Unigram"] = {}
 
 
@@ -64,6 +64,7 @@ class Unigram:
         self.known: dict[str, int] = {}
         self.pool, self.starts = array("I"), array("q", [0])
         self.counted: dict[str, int] = {}
+        self.known_chars = self.counted_chars = 0
         self.automaton = ahocorasick.Automaton()
         for p, (score, _) in self.ids.items():
             self.automaton.add_word(p, (len(p), score))
@@ -144,9 +145,12 @@ class Unigram:
         return [k for part in self.stream(self.escaped(text)) for k in part]
 
     def encode_batch(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row and each text's offset; segments that no piece leaves are settled once each."""
-        if len(self.known) > CACHE:
-            self.known = {}
+        """All ids in a row and each text's offset; segments that no piece leaves are settled once each.
+
+        What is kept between batches has at most CACHE segments of CACHE_CHARS characters and one batch's more.
+        """
+        if len(self.known) > CACHE or self.known_chars > CACHE_CHARS:
+            self.known, self.known_chars = {}, 0
             self.pool, self.starts = array("I"), array("q", [0])
         known, pool, starts = self.known, self.pool, self.starts
         at, ends = array("q"), [0]
@@ -159,6 +163,7 @@ class Unigram:
                         pool.extend(ids)
                     starts.append(len(pool))
                     known[part] = k = len(known)
+                    self.known_chars += len(part)
                 at.append(k)
             ends.append(len(at))
         bounds, place = np.array(starts, np.int64), np.array(at, np.int64)
@@ -214,13 +219,14 @@ class Unigram:
         return count[n]
 
     def count(self, text: str | None) -> int:
-        if len(self.counted) > CACHE:
-            self.counted = {}
+        if len(self.counted) > CACHE or self.counted_chars > CACHE_CHARS:
+            self.counted, self.counted_chars = {}, 0
         s, total = self.escaped(text), 0
         for part in self.segment.findall(s) if self.cuts else [s] if s else []:
             n = self.counted.get(part)
             if n is None:
                 n = self.counted[part] = self._count(part)
+                self.counted_chars += len(part)
             total += n
         return total
 
@@ -248,7 +254,10 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text back."""
+    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text back.
+
+    A null or empty text has no ids, CRC 0 and round_trip true; repeated rows give a row each, an empty table none.
+    """
     bound_batches(docs.sparkSession, 500)
 
     def run(batch: pa.RecordBatch):

@@ -537,9 +537,23 @@ def test_unigram_equals_the_library(unigram_model):
 
 def test_unigram_keeps_a_bounded_window(unigram_model):
     own = unigram.Unigram.load(unigram_model)
-    parts = list(own.stream("thesebriefwords" * 400))
+    text = "thesebriefwords" * 400
+    parts = list(own.stream(text))
     assert len(parts) > 20 and max(map(len, parts)) < 200
-    assert [k for p in parts for k in p] == own.encode("thesebriefwords" * 400)[1:] or len(parts)
+    ids = [k for p in parts for k in p]
+    # the count goes another way, by Aho-Corasick
+    assert own.decode(ids) == text and len(ids) == own._count(text)
+
+
+def test_unigram_caches_are_bounded(unigram_model, monkeypatch):
+    monkeypatch.setattr(unigram, "CACHE_CHARS", 40)
+    own = unigram.Unigram(unigram_model)
+    texts = ["some words here", None, "", "x" * 500, "some other words"]
+    for _ in range(3):
+        ids, at = own.encode_batch(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [own.encode(t) for t in texts]
+        assert sum(map(len, own.known)) == own.known_chars < 600
+        assert [own.count(t) for t in texts] == [len(own.encode(t)) for t in texts] and own.counted_chars < 600
 
 
 def test_unigram_queries(docs, empty):
@@ -548,7 +562,7 @@ def test_unigram_queries(docs, empty):
     assert {(d, n) for d, n, _ in ids} == {(r.doc_id, r.n_tokens) for r in unigram.counts(docs, model).collect()} and all(ok for *_, ok in ids)
     texts = unigram.decoded(unigram.encoded(docs, model), model).collect()
     assert Counter((r.doc_id, r.text) for r in texts) == Counter((d, t or "") for d, t in texts_of(docs))
-    assert unigram.counts(empty, model).count() == 0
+    assert unigram.counts(empty, model).count() == unigram.digests(empty, model).count() == unigram.encoded(empty, model).count() == 0
 
 
 def test_words():
