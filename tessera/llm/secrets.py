@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "key_id", "key_value", "endpoint")
 #: Parts whose starts are so many code points apart, at most, are of one scope.
 SCOPE = 240
 ASSIGNED_LEAST = 6
+#: Copies of a text are dealt over so many keys where its links are brought back to them.
+SALTS = 32
 SPAN = "struct<start:int,ord:int,`end`:int>"
 
 
@@ -83,6 +85,17 @@ def _overlaps(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
+def _free_spans() -> Column:
+    """Base spans, and the weak ones that no base span covers."""
+    return F.concat("base", F.filter("weak", lambda w: ~F.exists("base", lambda b: _overlaps(w, b))))
+
+
+def _complementary(spans) -> Column:
+    """Whether spans hold an identifier, a secret and a weak part; without these, a text has no links."""
+    kinds = lambda *of: F.exists(spans, lambda x: x["ord"].isin(*of))
+    return kinds(1, 3) & kinds(0, 2, 4) & kinds(3, 4, 5)
+
+
 def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(tid, links): the weak spans that complementary parts support.
 
@@ -90,10 +103,7 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     start within a scope of each other; both parts count then. An endpoint counts within a scope of a
     linked identifier. Weak parts that a base span covers stand for nothing new and are left out.
     """
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: _overlaps(w, b)))
-    spans = F.concat("base", free)
-    kinds = lambda *of: F.exists("s", lambda x: x["ord"].isin(*of))
-    once = scanned.filter("size(weak) > 0").select("tid", spans.alias("s")).filter(kinds(1, 3) & kinds(0, 2, 4) & kinds(3, 4, 5)).dropDuplicates(["tid"])
+    once = scanned.select("tid", _free_spans().alias("s")).filter(_complementary("s")).dropDuplicates(["tid"])
     parts = once.select("tid", F.explode("s").alias("s")).select("tid", "s", F.floor(F.col("s.start") / scope).cast("int").alias("cell"))
     near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
 
@@ -111,10 +121,14 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """One row per document: doc_id, tid, base (spans found by pattern), spans (these and the linked ones).
 
-    Equal texts are linked once. Null texts are empty; null and repeated doc_ids are carried through.
+    Equal texts are linked once. Only rows that can have links are joined with them, copies of a text over
+    several keys. Null texts are empty; null and repeated doc_ids are carried through.
     """
-    scanned = materialize(scan(docs), "scan")
-    rows = scanned.select("doc_id", "tid", "base").join(linked(scanned, scope), "tid", "left")
+    scanned = materialize(scan(docs).withColumn("open", _complementary(_free_spans())), "scan")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    found = linked(scanned.filter("open"), scope).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = scanned.filter("open").select("doc_id", "tid", "base", salt.alias("salt")).join(found, ["tid", "salt"], "left").drop("salt")
+    rows = rows.unionByName(scanned.filter("not open").select("doc_id", "tid", "base"), allowMissingColumns=True)
     return rows.select("doc_id", "tid", "base", F.array_sort(F.concat("base", F.coalesce("links", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
