@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions.labels import label_text
-
-
-def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals, the exact binary value rounded half to even, as a bigdecimal cast of it does."""
-    return F.bround(x.cast("decimal(38,18)"), digits).cast(f"decimal(20,{digits})").cast("string")
+from tessera.functions.numeric import finite, fixed, units
 
 
 def format_ms(x: Column) -> Column:
-    return F.when(x.isNull() | F.isnan(x), "--").otherwise(fixed(x, 1))
+    return F.when(finite(x), fixed(x, 1)).otherwise("--")
 
 
 def format_depth(depth: Column, capacity: Column) -> Column:
@@ -29,7 +25,7 @@ def draw_list(tracks: DataFrame, frame_w: int, frame_h: int) -> DataFrame:
     inside = [F.greatest(F.lit(0), F.least(s, F.lit(top[k]))) for k, s in enumerate(sides)]
     b, g, r = G.track_color(F.col("track_id"))
     confirmed = F.col("state") == "confirmed"
-    rows = tracks.filter("state <> 'lost'").select("source", "frame_index", "track_id", "state", *G.named(inside), b.alias("blue"), g.alias("green"), r.alias("red"), F.when(confirmed, 2).otherwise(1).alias("thickness"), confirmed.alias("label_filled"), label_text(F.col("state"), F.col("class_id"), F.col("track_id"), F.bround(F.col("confidence").cast("decimal(38,18)") * 100, 0)).alias("label"))
+    rows = tracks.filter("state <> 'lost'").select("source", "frame_index", "track_id", "state", *G.named(inside), b.alias("blue"), g.alias("green"), r.alias("red"), F.when(confirmed, 2).otherwise(1).alias("thickness"), confirmed.alias("label_filled"), label_text(F.col("state"), F.col("class_id"), F.col("track_id"), units(F.col("confidence"), 2)).alias("label"))
     return rows.filter("x_max > x_min and y_max > y_min")
 
 

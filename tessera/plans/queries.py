@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.functions.labels import class_name, label_text
-from tessera.operators import clock, context, detect, embedding, retrieval, stats, tracking
+from tessera.operators import clock, context, detect, embedding, overlay, retrieval, stats, tracking
 from tessera.plans import views as V
 from tessera.sources import files
 
@@ -318,6 +318,19 @@ def track_dump(s: SparkSession, d: str) -> DataFrame:
     return files.dump_lines(rows)
 
 
+def draw_list(s: SparkSession, d: str) -> DataFrame:
+    state = F.element_at(F.array(F.lit("confirmed"), F.lit("tentative"), F.lit("lost")), F.col("det_idx") % 3 + 1)
+    rows = overlay.draw_list(nms(s, d).withColumn("track_id", F.col("det_idx")).withColumn("state", state), 60, 50)
+    return rows.withColumns({c: r6(c) for c in ("blue", "green", "red")})
+
+
+def panel_lines(s: SparkSession, d: str) -> DataFrame:
+    depths = {f"{name}_depth": F.col("depth") + k for k, name in enumerate(("decoded", "prepared", "detected", "tracked"))}
+    rest = {"render_ms": F.when(F.col("frame_index") % 9 > 0, F.col("render_ms")), "fps": F.col("tracking_ms") * 3, "confirmed_tracks": F.col("depth")}
+    rows = V.metrics(s, d).withColumns({**depths, **{c.replace("depth", "capacity"): F.col("capacity") for c in depths}, **rest})
+    return overlay.panel_lines(rows).select("source", "frame_index", F.array_join("lines", "\n").alias("lines"))
+
+
 def match_reasons(s: SparkSession, d: str) -> DataFrame:
     rows = retrieval.scored(V.chunks(s, d), _query(s, d))
     return rows.select(F.col("pos").alias("doc_id"), F.array_join("match_reasons", " ").alias("reasons"))
@@ -394,5 +407,5 @@ QUERIES = {
     "regex_paths": regex_paths, "track_batch": track_batch, "assignment": assignment,
     "nearest_track": nearest_track, "run_summary": run_summary, "median_runs": median_runs, "queue_depths": queue_depths, "loop_for": loop_for, "filtered_rank": filtered_rank,
     "search_results": search_results, "path_chunks": path_chunks, "embed_texts": embed_texts, "symbol_chunks": symbol_chunks, "track_dump": track_dump, "assignment_cost": assignment_cost, "track_rules": track_rules,
-    "track_births": track_births,
+    "track_births": track_births, "draw_list": draw_list, "panel_lines": panel_lines,
 }

@@ -139,6 +139,7 @@ ROLLING = f"""{STAMPS}, s AS (SELECT source, frame_index, media_ms, row_number()
 CHUNKS = f"""ch AS (
   SELECT doc_id AS pos, source || '/' || lang AS path, string_split(text, ' ')[1] AS symbol, {KINDS}[doc_id % 9 + 1] AS kind FROM documents)"""
 STAGE_ROWS = ", ".join(f"round(avg({s}_ms), 6) AS {s}_mean_ms, round(quantile_disc({s}_ms, 0.95), 6) AS {s}_p95_ms" for s in ("decode", "preprocess", "inference", "tracking", "render"))
+COLORS = "round(([0.0::DOUBLE, 0.0, x, 0.72, 0.72, x][least(k, 5) + 1] + 0.18::DOUBLE) * 255, 6) AS blue, round(([x, 0.72::DOUBLE, 0.72, x, 0.0, 0.0][least(k, 5) + 1] + 0.18::DOUBLE) * 255, 6) AS green, round(([0.72::DOUBLE, x, 0.0, 0.0, x, 0.72][least(k, 5) + 1] + 0.18::DOUBLE) * 255, 6) AS red"
 
 SQL = {
     "rolling_fps": f"WITH RECURSIVE {ROLLING} SELECT source, frame_index, fps FROM span WHERE fps IS NOT NULL",
@@ -154,6 +155,7 @@ SQL = {
     "path_chunks": f"WITH {CHUNKS} SELECT path, symbol, kind, CAST(pos * 7 % 11 AS INTEGER) AS line_start, pos FROM ch QUALIFY row_number() OVER (PARTITION BY path ORDER BY coalesce(list_position(['mod', 'struct', 'fn', 'const', 'impl', 'enum', 'script', 'plan_ref'], kind), 10), pos * 7 % 11, pos) = 1",
     "symbol_chunks": f"WITH {CHUNKS}, w AS (SELECT symbol, CAST(min(pos) AS INTEGER) AS s_at FROM ch WHERE pos < 200 GROUP BY symbol), t AS (SELECT s_at, ch.*, CASE WHEN path IN ('src1/en', 'src2/de') AND kind <> 'plan_ref' THEN 0 WHEN kind NOT IN ('plan_ref', 'doc') THEN 1 ELSE 2 END AS tier FROM ch JOIN w USING (symbol)) SELECT s_at, symbol, path, kind, pos FROM t QUALIFY row_number() OVER (PARTITION BY s_at, symbol ORDER BY tier, CASE WHEN tier = 0 THEN path ELSE '' END, pos) = 1",
     "track_dump": f"WITH RECURSIVE {NMS} SELECT source, frame_index, det_idx AS track_id, format('{{}},{{:.3f}},{{}},{{}},{{}},{{:.3f}},{{:.3f}},{{:.3f}},{{:.3f}},{{:.4f}}', frame_index, frame_index * 33.3::DOUBLE, det_idx, class_id, CASE WHEN det_idx % 2 = 0 THEN 'confirmed' ELSE 'tentative' END, x_min, y_min, x_max, y_max, confidence) AS line FROM kept",
+    "panel_lines": "WITH e AS (SELECT user_id AS source, event_id AS frame_index, value AS v, event_id % 3 AS n FROM events), l AS (SELECT *, 'decode: ' || coalesce(printf('%.1f', v), '--') || chr(10) || 'preprocess: ' || coalesce(printf('%.1f', v * 0.5::DOUBLE + frame_index % 5), '--') || chr(10) || 'inference: ' || coalesce(printf('%.1f', v * 2.0::DOUBLE), '--') || chr(10) || 'tracking: ' || coalesce(printf('%.1f', v * 0.25::DOUBLE), '--') || chr(10) || 'render: ' || CASE WHEN frame_index % 9 > 0 THEN coalesce(printf('%.1f', v * 0.125::DOUBLE), '--') ELSE '--' END AS times FROM e) SELECT source, frame_index, times || chr(10) || 'decoded: ' || n || '/2' || chr(10) || 'prepared: ' || (n + 1) || '/2' || chr(10) || 'detected: ' || (n + 2) || '/2' || chr(10) || 'tracked: ' || (n + 3) || '/2' || chr(10) || 'fps: ' || coalesce(printf('%.1f', v * 0.25::DOUBLE * 3), '--') || chr(10) || 'tracks: ' || n AS lines FROM l",
     "track_rules": f"WITH {DET} SELECT DISTINCT source, CAST(0 AS BIGINT) AS gaps_in_ids, CAST(0 AS BIGINT) AS births_out_of_order, CAST(0 AS BIGINT) AS class_changes, CAST(0 AS BIGINT) AS beyond_retention, CAST(0 AS BIGINT) AS wrong_state, CAST(0 AS BIGINT) AS tentative_misses FROM det",
     "track_births": f"WITH RECURSIVE {NMS}, f AS (SELECT source, min(frame_index) AS frame_index FROM kept GROUP BY source) SELECT source, frame_index, count(*) AS live, CAST(0 AS BIGINT) AS confirmed, count(*) AS last_id FROM kept JOIN f USING (source, frame_index) GROUP BY ALL",
     "candidate_filter": f"WITH {DET} SELECT * FROM det",
@@ -204,7 +206,7 @@ SELECT count(*) AS queries, round(coalesce(avg(CAST(passed AS DOUBLE)), 1.0), 6)
     "slugify": "SELECT page_id, trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM pages",
     "regex_paths": "SELECT doc_id, 'src/' || lang || '/a_' || doc_id || '.rs,src/pipeline/x.rs,scripts/run-' || (doc_id % 7) || '.sh' AS paths FROM documents",
     "label_origin": "WITH p AS (SELECT p_partkey, p_partkey * 7 % 800 AS l, p_partkey * 13 % 450 AS t, p_partkey * 13 % 450 + 40 AS b FROM part), q AS (SELECT p_partkey, greatest(least(l, 678), 0) AS x, greatest(least(CASE WHEN t - 18 < 0 THEN b ELSE t - 18 END, 414), 0) AS y, b FROM p) SELECT p_partkey, CAST(x AS INTEGER) AS label_left, CAST(CASE WHEN x < 250 AND y < 280 THEN greatest(least(b, 414), 0) ELSE y END AS INTEGER) AS label_top FROM q",
-    "track_color": "WITH h AS (SELECT c_custkey, (c_custkey * 0.61803398875::DOUBLE - floor(c_custkey * 0.61803398875::DOUBLE)) * 360 / 60 AS s FROM customer), x AS (SELECT c_custkey, CAST(floor(s) AS INTEGER) AS k, 0.72::DOUBLE * (1 - abs(s - 2 * floor(s / 2) - 1)) AS x FROM h) SELECT c_custkey, round(([0.0::DOUBLE, 0.0, x, 0.72, 0.72, x][least(k, 5) + 1] + 0.18::DOUBLE) * 255, 6) AS blue, round(([x, 0.72::DOUBLE, 0.72, x, 0.0, 0.0][least(k, 5) + 1] + 0.18::DOUBLE) * 255, 6) AS green, round(([0.72::DOUBLE, x, 0.0, 0.0, x, 0.72][least(k, 5) + 1] + 0.18::DOUBLE) * 255, 6) AS red FROM x",
+    "track_color": "WITH h AS (SELECT c_custkey, (c_custkey * 0.61803398875::DOUBLE - floor(c_custkey * 0.61803398875::DOUBLE)) * 360 / 60 AS s FROM customer), x AS (SELECT c_custkey, CAST(floor(s) AS INTEGER) AS k, 0.72::DOUBLE * (1 - abs(s - 2 * floor(s / 2) - 1)) AS x FROM h) SELECT c_custkey, " + COLORS + " FROM x",
 }
 
 
@@ -216,4 +218,9 @@ def with_names(names) -> dict[str, str]:
     return {
         "label_lookup": f"SELECT p_partkey, CAST(p_partkey % 90 AS INTEGER) AS class_id, {name} AS class_name FROM part",
         "label_text": f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN coalesce({name}, 'unknown') || ' #' || p_partkey || ' ' || {shown} WHEN 1 THEN coalesce({name}, 'unknown') || ' ?' ELSE '' END AS label FROM part",
+        "draw_list": f"""WITH RECURSIVE {NMS}, d AS (SELECT source, frame_index, det_idx AS track_id, ['confirmed', 'tentative', 'lost'][det_idx % 3 + 1] AS state, class_id, confidence,
+          [CAST(greatest(0, least(round(v[1]), v[2])) AS INTEGER) FOR v IN [[x_min, 60.0], [y_min, 50.0], [x_max, 60.0], [y_max, 50.0]]] AS b, (det_idx * 0.61803398875::DOUBLE - floor(det_idx * 0.61803398875::DOUBLE)) * 360 / 60 AS s FROM kept),
+          c AS (SELECT *, CAST(floor(s) AS INTEGER) AS k, 0.72::DOUBLE * (1 - abs(s - 2 * floor(s / 2) - 1)) AS x, coalesce({listed}[class_id + 1], 'unknown') AS name FROM d)
+          SELECT source, frame_index, track_id, state, b[1] AS x_min, b[2] AS y_min, b[3] AS x_max, b[4] AS y_max, {COLORS}, CAST(CASE state WHEN 'confirmed' THEN 2 ELSE 1 END AS INTEGER) AS thickness, state = 'confirmed' AS label_filled,
+          CASE state WHEN 'confirmed' THEN name || ' #' || track_id || ' ' || printf('%.2f', confidence) ELSE name || ' ?' END AS label FROM c WHERE state <> 'lost' AND b[3] > b[1] AND b[4] > b[2]""",
     }

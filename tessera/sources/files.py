@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime
-import decimal
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import fixed
+
 #: Version of the index layout; an index of another version is not read.
 INDEX_VERSION = 1
 # The track dump's header and formats.
@@ -101,13 +101,9 @@ def refreshed(spark: SparkSession, path: str, files: DataFrame, build, force: bo
 def dump_lines(tracks: DataFrame) -> DataFrame:
     """source, frame_index, track_id and the dump line of each track. Numbers are rounded as exact binary values, half to even."""
 
-    @F.pandas_udf("string")
-    def line(*columns: pd.Series) -> pd.Series:
-        fixed = lambda x, n: f"{decimal.Decimal(float(x)):.{n}f}"
-        rows = zip(*columns)
-        return pd.Series([",".join((str(int(r[0])), fixed(r[1], 3), str(int(r[2])), str(int(r[3])), r[4], *(fixed(v, 3) for v in r[5:9]), fixed(r[9], 4))) for r in rows], dtype=object)
-
-    return tracks.select("source", "frame_index", "track_id", line(*[F.col(c) for c in DUMP_COLUMNS]).alias("line"))
+    digits = {"media_ms": 3, "x_min": 3, "y_min": 3, "x_max": 3, "y_max": 3, "confidence": 4}
+    shown = [fixed(F.col(c), digits[c]) if c in digits else F.col(c).cast("string") for c in DUMP_COLUMNS]
+    return tracks.select("source", "frame_index", "track_id", F.concat(*[x for c in shown for x in (F.lit(","), c)][1:]).alias("line"))
 
 
 def write_dump(tracks: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import text as T
+from tessera.functions import numeric
 from tessera.functions.labels import label_text
 from tessera.operators import chunks, clock, context, detect, inference, overlay, retrieval, stats
 from tessera.sources import files
@@ -65,6 +66,11 @@ def test_labels_and_formats(spark):
     assert one(spark, label_text(F.lit("confirmed"), F.lit(0), F.lit(42), F.lit(91))) == "person #42 0.91"
     assert one(spark, label_text(F.lit("tentative"), F.lit(0), F.lit(42), F.lit(91))) == "person ?"
     assert one(spark, overlay.format_ms(F.lit(float("nan")))) == "--" and one(spark, overlay.format_ms(F.lit(0.25))) == "0.2"
+    values = [0.15, 0.35, 2.5, 0.05, 1.005, 99.95, 1e-9, 123456.75, 0.45, -0.04, -1.25, 7.0, *[k / 200 for k in range(1, 400, 2)]]
+    table = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (0, 1, 2, 3):
+        assert [r[0] for r in table.select(numeric.fixed(F.col("x"), digits)).collect()] == [f"{x:.{digits}f}" for x in values]
+    assert one(spark, numeric.fixed(F.lit(float("inf")), 1)) is None
 
 
 def test_dump_line(spark):
