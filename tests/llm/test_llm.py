@@ -344,6 +344,17 @@ def test_an_endpoint_near_linked_base_spans(spark):
     assert {r.doc_id: "endpoint" in r.spans for r in rows} == {0: True, 1: True, 2: False}
 
 
+def test_copies_of_a_text_get_its_links(spark):
+    """Many copies, with repeated and null ids, lie under several keys; each row comes back once, as do those without links."""
+    ids = [*range(80), 3, 3, None, None]
+    rows = [(d, SECRETS[6]) for d in ids] + [(100 + k, t) for k, t in enumerate(SECRETS)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.spans) for r in secrets.find_secrets(table).select("doc_id", secrets.listed("spans").alias("spans")).collect())
+    spans = {s for d, s in got if d is None or d < 100}
+    assert sum(got.values()) == len(rows) and len(spans) == 1 and spans.pop().count(":") == 6
+    assert Counter(d for d, _ in got.elements()) == Counter(d for d, _ in rows)
+
+
 def test_redaction(spark):
     table = spark.createDataFrame([(k, t, 0) for k, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in stages.without_secrets(table).collect()}
