@@ -96,7 +96,7 @@ def iou_pairs(s: SparkSession, d: str) -> DataFrame:
 def assoc_cost(s: SparkSession, d: str) -> DataFrame:
     a, b = _frame_tables(s, d)
     pairs = detect.iou_pairs(a, b, -1.0, KEY)
-    return pairs.groupByKEY.agg(F.count("*").alias("n"), r6(F.sum(detect.association_cost(F.col("iou")))).alias("cost"))
+    return pairs.groupBy(*KEY).agg(F.count("*").alias("n"), r6(F.sum(detect.association_cost(F.col("iou")))).alias("cost"))
 
 
 def unmatched_anti(s: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.functions import numeric
 from tessera.functions.labels import label_text
 from tessera.operators import chunks, clock, context, detect, inference, overlay, retrieval, stats
+from tessera.plans import queries
 from tessera.sources import files
 
 
@@ -45,6 +46,16 @@ def test_suppression(spark):
     assert {r["frame_index"]: r["n"] for r in found.groupBy("frame_index").agg(F.count("*").alias("n")).collect()} == {0: 1, 1: 2}
 
 
+def test_assoc_cost_of_each_group(spark, tmp_path):
+    # two tracks and a detection of one class, overlapping by a third and by a ninth; a box without a partner; another frame's pair
+    rows = [(1, 10, 3, 0.08), (1, 30, 3, 0.07), (1, 10, 27, 0.06), (1, 10, 4, 0.05), (2, 10, 3, 0.08), (2, 30, 3, 0.07)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_discount double").withColumn("l_quantity", F.lit(20.0))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.QUERIES["assoc_cost"](spark, str(tmp_path))
+    assert got.columns == ["source", "frame_index", "class_id", "n", "cost"]
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 0, 2, 2.666667), (0, 2, 0, 1, 0.666667)]
+
+
 def test_best_class_ties_and_nan(spark):
     nan = float("nan")
     rows = spark.createDataFrame([([0.1, 0.5, 0.5],), ([0.1, nan, 0.3],), ([nan, 0.9, 0.1],)], "s array<double>")
