@@ -452,6 +452,33 @@ def test_top_k(spark):
     assert topk.top_k(table.filter("id < 0"), table).count() == 0
 
 
+def test_top_k_lanes_do_not_follow_the_partitions(spark):
+    rows = spark.createDataFrame([(k, [k % 7, k % 5]) for k in range(40)], "id long, v array<long>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        tiles = topk.top_k(rows.filter("id = 0"), rows)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # a block of queries has a copy for each lane
+    assert int(re.search(r"sequence\(0, (\d+)", tiles)[1]) < 128
+
+
+def test_tiles_one_after_another_are_exact():
+    rng = np.random.default_rng(4)
+    for top in (2, 300, 1 << 15, 1 << 29):  # single precision, with many ties and with few, double, integers
+        ids = rng.permutation(400)
+        ids[:3] = ids[5]
+        rows = rng.integers(-top, top, (400, 8))
+        shards = [(ids[a:b], rows[a:b]) for a, b in ((0, 3), (3, 4), (4, 150), (150, 400))]
+        queries = np.sort(rng.choice(ids[4:], 30, replace=False))[::-1].copy()
+        vectors = rng.integers(-top, top, (30, 8))
+        q, c, s = topk._through(queries, vectors, shards, 5)
+        for own, v in zip(queries.tolist(), vectors):
+            want = sorted((-sum(int(x) * int(y) for x, y in zip(v, r)), int(k)) for k, r in zip(ids, rows) if k != own)[:5]
+            assert sorted(zip((-s[q == own]).tolist(), c[q == own].tolist())) == want
+
+
 def page(title, text, extra=""):
     return f"<html><head><title>t</title><style>p{{}}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'>We use</div><article><h1>{title}</h1><p>{text}<br>more &amp; &lt;b&gt;<p>Share this story now</p>{extra}<section class=comments><p>nice</p></section></article><aside>side</aside><footer>&copy;</footer><script>var x='</p>'</script></body></html>"
 
