@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,11 @@ import regex
 
 from tessera.llm.common import gather, words_of
 
-#: Entries of the younger half of a cache. Longer words are encoded each time they come up.
-CACHE_WORDS, CACHE_LETTERS = 100_000, 64
+#: Entries of the younger half of a cache: of pre-tokens, and of words of other than letters and marks behind them. Longer
+#: ones are encoded each time they come up.
+CACHE_PRETOKENS, CACHE_WORDS, CACHE_LETTERS = 150_000, 50_000, 64
+#: What a run of is one pre-token, unless letters stand behind it.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: The pre-token pattern of the public word tokenizer.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _loaded: dict[str, "WordTokenizer"] = {}
@@ -70,7 +74,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.known = Recent(CACHE_WORDS)
-        self.pretokens = Recent(CACHE_WORDS)
+        self.pretokens = Recent(CACHE_PRETOKENS)
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
@@ -79,30 +83,39 @@ class WordTokenizer:
         return _loaded[path]
 
     def _pretoken(self, word: str) -> bytes:
-        found = self.pretokens.get(word)
+        found = self.pretokens.young.get(word)
         if found is None:
-            found = np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+            found = self.pretokens.get(word)
+        if found is None:
+            letters = word if word.isascii() and word.isalpha() else word.translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             self.pretokens.put(word, found)
         return found
 
-    def _word(self, word: str) -> bytes:
+    def _split(self, word: str) -> bytes:
         if "<|" in word or not (word.isascii() or max(word) <= "\xff"):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        low = word.lower()
-        if low.isalpha():
-            return self._pretoken(low)
-        return b"".join(self._pretoken(part) for part in PRETOKEN.findall(low))
+        return b"".join(self._pretoken(part) for part in PRETOKEN.findall(word.lower()))
+
+    def _word(self, word: str) -> bytes:
+        """Most words are letters, or letters and marks behind them: these need no pattern and no entry of their own."""
+        if word.isascii() or max(word) <= "\xff":
+            low = word.lower()
+            if low.isalpha():
+                return self._pretoken(low)
+            core = low.rstrip(MARKS)
+            if core.isalpha() and "<|" not in low:
+                return self._pretoken(core) + self._pretoken(low[len(core) :])
+        found = self.known.get(word)
+        if found is None:
+            found = self._split(word)
+            self.known.put(word, found)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's offset among them."""
         codes, words, offsets = words_of(texts)
-        own = []
-        for word in words:
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                self.known.put(word, ids)
-            own.append(ids)
+        own = [self._word(word) for word in words]
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts = np.cumsum(sizes) - sizes
         each = sizes[codes]

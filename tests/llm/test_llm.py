@@ -58,6 +58,18 @@ def test_word_tokenizer_equals_the_library():
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids
 
+def test_word_tokenizer_takes_marks_off_without_the_pattern():
+    own = WordTokenizer(vocabulary("word_bpe_49k.json"))
+    texts = ["word### Word*** été%%% ª&&& it' a'''", "it's 's ' ''' a's' word<|x word<|endoftext|> <|endoftext|>### 42## a1# ## ×# _a_ a×", "İ# K## ß$ µ! ÿ."]
+    for _ in range(2):
+        ids, at = own.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    own = WordTokenizer(vocabulary("word_bpe_49k.json"))
+    own.encode(pa.array(texts[:1]))
+    # no entry for each word: those of its letters and its marks do
+    assert not own.known.young and {"word", "###", "***"} <= set(own.pretokens.young)
+
 
 def least_bins(lengths, size):
     """Martello and Toth's lower bound on the number of bins."""
