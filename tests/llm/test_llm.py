@@ -277,6 +277,27 @@ def test_stage_takes_out_planted_passages(spark):
     assert all(out[k].text == text for k, text, _, _ in rows[40:])
 
 
+def test_report_removes_passages_from_400_bytes_on(spark):
+    """Passages of over 50 words that documents share: of 400 bytes they go as a whole, of 399 they stay, whatever their characters.
+
+    n_bytes is the size of the input and n_removed what goes; documents of their own words lose nothing.
+    """
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    words = lambda size: " ".join([*(own(6) for _ in range(52)), own(size - 52 * 7)])
+    passages = {0: words(400), 1: words(399), 2: "é" + words(398), 3: "é" + words(397)}
+    assert all(len(p.split()) > 50 for p in passages.values()) and [len(p.encode()) for p in passages.values()] == [400, 399, 400, 399]
+    # the characters beside a passage are each document's own, so that no longer string is shared
+    texts = {10 * k + c: f"{own(300)}{'xyz'[c]}{passages[k]}{'xyz'[c]}{own(200)}" for k in passages for c in range(3)} | {k: own(900) for k in range(100, 120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.removal_report(docs).collect()}
+    assert all(got[d].n_bytes == len(t.encode()) for d, t in texts.items())
+    assert {d: (r.n_removed, r.n_spans) for d, r in got.items()} == {d: (400, 1) if d // 10 in (0, 2) else (0, 0) for d in texts}
+    for d, t in texts.items():
+        kept = t.replace(passages[d // 10], "") if d // 10 in (0, 2) else t
+        assert got[d].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def test_a_large_group_is_dealt_by_longer_grams(spark, monkeypatch):
     """A line that all texts hold, once shorter and once longer than the strings, and one text of a single letter."""
     monkeypatch.setattr(repeats, "GROUP_BYTES", 500)
